@@ -94,3 +94,17 @@ def write_shared(uri: str, *chunks: bytes | memoryview) -> None:
         for x in chunks:
             out.write(x)
     there.move(aside, path)
+
+
+def keep_rows(docs: DataFrame, decided: DataFrame) -> DataFrame:
+    """The rows of docs that stay. decided(doc_id, row_key, stay): how many of the rows of docs with
+    this doc_id and text hash stay; rows that it doesn't name stay all. Only what goes is listed,
+    so texts don't move where the list is small enough to be sent to every task."""
+    gone = decided.select(F.col("doc_id").alias("_gone_id"), F.col("row_key").alias("_gone_key"), "stay")
+    on = docs["doc_id"].cast("long").eqNullSafe(gone["_gone_id"]) & (F.xxhash64(docs["text"]) == gone["_gone_key"])
+    out = docs.join(gone, on, "left_anti")
+    partly = gone.where("stay > 0")  # of repeated rows one stays
+    if not partly.isEmpty():
+        again = docs.join(partly, on, "left_semi").groupBy(F.struct(docs["doc_id"], F.xxhash64(docs["text"])).alias("_row"))
+        out = out.unionByName(again.agg(*[F.any_value(F.col(f"`{c}`")).alias(c) for c in docs.columns]).select(*[f"`{c}`" for c in docs.columns]))
+    return out

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse_filter
-from .common import ascii_lower, fold_of, materialize, table
+from .common import ascii_lower, fold_of, keep_rows, materialize, table
 
 #: Digests of one bucket, for which one task builds or probes a filter.
 BUCKET_KEYS = 200_000
@@ -124,15 +124,7 @@ def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with all their columns."""
     decided = materialize(classify(docs), "dedup-decided")
     gone = decided.groupBy("doc_id", "row_key").agg(F.count_if("kept").alias("stay"), F.count("*").alias("m")).where("stay < m")
-    gone = materialize(gone.select(F.col("doc_id").alias("gone_id"), F.col("row_key").alias("gone_key"), "stay", "m"), "dedup-gone")
-    is_row = docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]) & (F.xxhash64(docs["text"]) == gone["gone_key"])
-    out = docs.join(gone, is_row, "left_anti")
-    partly = gone.where("stay > 0")  # repeated rows: one of them stays
-    if not partly.isEmpty():
-        key = F.struct(docs["doc_id"], F.xxhash64(docs["text"]))
-        again = docs.join(partly, is_row, "left_semi").groupBy(key.alias("_row")).agg(*[F.any_value(F.col(c)).alias(c) for c in docs.columns])
-        out = out.unionByName(again.select(docs.columns))
-    return out
+    return keep_rows(docs, materialize(gone.select("doc_id", "row_key", "stay"), "dedup-gone"))
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

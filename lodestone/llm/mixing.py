@@ -22,9 +22,10 @@ from pyspark.sql import functions as F
 
 from .common import WORD, materialize, table
 
-CAP, STEPS, TOLERANCE = 3, 60, 1e-9
-#: Bins of a rounding histogram, and histograms one inside another.
-BINS, LEVELS = 4096, 3
+CAP, STEPS, TOLERANCE = 3, 60, 1e-6
+#: Bins of a rounding histogram; histograms one inside another for all documents, and passes that
+#: fill what is missing with documents no larger than that.
+BINS, LEVELS, FILLS = 4096, 3, 3
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -68,7 +69,7 @@ def multipliers(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
     w = wanted.select(F.col("source").alias("s"), "source_size", "target")
     state = scale.join(w, _same("source", "s")).drop("s").select(
         "source", "source_size", "target", "scale",
-        F.lit(0.0).alias("x"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"),
+        F.coalesce(F.log(F.when(F.col("target") > 0, F.col("target")) / F.col("source_size")), F.lit(0.0)).alias("x"), F.lit(-1e6).alias("lo"), F.lit(1e6).alias("hi"),
         (F.col("source_size") == 0).alias("done"),
     )
     state = materialize(state, "mix-state")
@@ -95,6 +96,27 @@ def multipliers(histogram: DataFrame, wanted: DataFrame) -> DataFrame:
     return state.select("source", "source_size", "target", "scale", F.when(live, F.round("x", 9)).alias("multiplier"))
 
 
+def _advance(x: DataFrame, at: DataFrame) -> DataFrame:
+    """Moves low of every source past the whole bins of [low, low + width) whose documents of at
+    most limit words are still missing; width becomes that of the bin in which they are reached."""
+    a = at.select(F.col("source").alias("s"), "low", "width", "limit")
+    own = x.join(a, _same("source", "s")).where((F.col("size") <= F.col("limit")) & (F.col("v") >= F.col("low")))
+    own = own.withColumn("bin", F.floor((F.col("v") - F.col("low")) / F.col("width") * BINS)).where(F.col("bin") < BINS)
+    run = Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
+    bins = own.groupBy("s", "bin").agg(F.sum("size").alias("words")).withColumn("upto", F.sum("words").over(run))
+    bins = bins.join(at.select("source", "missing"), _same("source", "s"))
+    fits = F.col("upto") <= F.col("missing")
+    reached = bins.groupBy("s").agg(F.coalesce(F.max(F.when(fits, F.col("upto"))), F.lit(0)).alias("got"), F.min(F.when(~fits, F.col("bin"))).alias("next"))
+    step = F.col("width") / BINS
+    return at.join(reached, _same("source", "s"), "left").select(
+        "source",
+        (F.col("missing") - F.coalesce("got", F.lit(0))).alias("missing"),
+        (F.col("low") + F.coalesce(F.col("next") * step, F.col("width"))).alias("low"),
+        F.when(F.col("next").isNull(), F.lit(1e-12)).otherwise(step).alias("width"),
+        "limit",
+    )
+
+
 def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     """One row per row of docs: doc_id, row_key, source, size, source_size, target, rate, copies."""
     # the texts are read once
@@ -111,32 +133,20 @@ def mix(docs: DataFrame, seed: int = 7) -> DataFrame:
     v = F.when((F.col("whole") < CAP) & (F.col("size") > 0), u - (F.col("rate") - F.col("whole")) + 1.0)
     x = materialize(x.withColumn("v", v), "mix-rates")
     sums = x.groupBy("source").agg(F.sum(F.col("whole") * F.col("size")).alias("sure"), F.max("target").alias("target"))
-    at = sums.select("source", (F.col("target") - F.col("sure")).alias("missing"), F.lit(0.0).alias("low"), F.lit(2.0).alias("width"))
-    for _ in range(LEVELS):
-        at = materialize(at, "mix-shift")
-        a = at.select(F.col("source").alias("s"), "low", "width")
-        cell = F.floor((F.col("v") - F.col("low")) / F.col("width") * BINS)
-        own = x.where("v is not null").join(a, _same("source", "s")).withColumn("bin", cell).where((F.col("bin") >= 0) & (F.col("bin") < BINS))
-        bins = own.groupBy("s", "bin").agg(F.sum("size").alias("words"))
-        run = Window.partitionBy("s").orderBy("bin").rowsBetween(Window.unboundedPreceding, 0)
-        b = bins.withColumn("upto", F.sum("words").over(run)).join(at.select("source", "missing"), _same("source", "s"))
-        # whole bins below the one in which the missing words are reached
-        below = b.groupBy("s").agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("missing"), F.col("upto"))), F.lit(0)).alias("got"), F.min(F.when(F.col("upto") > F.col("missing"), F.col("bin"))).alias("next"))
-        at = at.join(below, _same("source", "s"), "left").select(
-            "source",
-            (F.col("missing") - F.coalesce("got", F.lit(0))).alias("missing"),
-            F.when(F.col("next").isNull(), F.col("low") + F.col("width")).otherwise(F.col("low") + F.col("next") * F.col("width") / BINS).alias("low"),
-            F.when(F.col("next").isNull(), F.lit(0.0) + F.col("width") * 1e-12).otherwise(F.col("width") / BINS).alias("width"),
-        )
-    at = materialize(at, "mix-shift")
-    shift = at.select(F.col("source").alias("s"), F.col("low").alias("shift"), "missing", "width")
-    x = x.join(shift, _same("source", "s")).drop("s")
-    # documents in the last cell: taken as well when that comes nearer
-    cell = x.where((F.col("v") >= F.col("shift")) & (F.col("v") < F.col("shift") + F.col("width"))).groupBy("source").agg(F.sum("size").alias("in_cell"), F.max("missing").alias("gap"))
-    cell = cell.select(F.col("source").alias("s"), (F.col("in_cell") <= 2 * F.col("gap")).alias("take_cell"))
-    x = x.join(cell, _same("source", "s"), "left").drop("s")
-    limit = F.when(F.coalesce("take_cell", F.lit(False)), F.col("shift") + F.col("width")).otherwise(F.col("shift"))
-    copies = F.col("whole") + F.when(F.col("v") < limit, F.lit(1)).otherwise(F.lit(0))
+    missing = (F.col("target") - F.col("sure")).alias("missing")
+    at = materialize(sums.select("source", missing, F.lit(0.0).alias("low"), F.lit(2.0).alias("width"), F.lit(1 << 62).alias("limit")), "mix-shift")
+    shifts = []
+    for k in range(LEVELS + FILLS):
+        if k >= LEVELS:  # on from the place reached, with documents that still fit
+            at = at.select("source", "missing", "low", (F.lit(2.0) - F.col("low")).alias("width"), F.floor("missing").alias("limit"))
+        at = materialize(_advance(x, at), "mix-shift")
+        if k >= LEVELS - 1:
+            shifts.append(at.select(F.col("source").alias("s"), F.col("low").alias(f"shift{k}"), F.col("limit").alias(f"limit{k}")))
+    taken = F.lit(False)
+    for k, own in enumerate(shifts, LEVELS - 1):
+        x = x.join(own, _same("source", "s")).drop("s")
+        taken = taken | ((F.col("v") < F.col(f"shift{k}")) & (F.col("size") <= F.col(f"limit{k}")))
+    copies = F.col("whole") + F.when(taken, F.lit(1)).otherwise(F.lit(0))
     return x.select("doc_id", "row_key", "source", "size", "source_size", "target", "rate", F.when(F.col("size") == 0, F.lit(1)).otherwise(copies).cast("long").alias("copies"))
 
 
