@@ -227,7 +227,7 @@ def write_words(counts: DataFrame, root: str, documents: int) -> Meta:
 
     schema = pa.schema([("shard", pa.int64()), ("size", pa.int64()), ("cuts", pa.list_(pa.int64())), ("parts", pa.list_(pa.int64()))])
     shard = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
-    rows = counts.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", "h")
+    rows = counts.withColumn("shard", shard).repartition("shard").sortWithinPartitions("shard", F.col("h") < 0, "h")  # as unsigned numbers
     found = {r["shard"]: r for r in rows.mapInArrow(run, "shard long, size long, cuts array<long>, parts array<long>").collect()}  # one row per shard
     sizes = [found[s]["size"] if s in found else 0 for s in range(1 << bits)]
     starts = np.cumsum([0, *sizes])
