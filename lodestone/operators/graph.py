@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -24,3 +26,68 @@ def edges(of: DataFrame) -> DataFrame:
     groups = of.groupBy("id").agg(F.sort_array(F.collect_set("entity")).alias("all"))
     pairs = groups.select(F.posexplode("all").alias("at", "a"), "all").select("a", F.explode(F.slice("all", F.col("at") + 2, F.size("all"))).alias("b"))
     return pairs.groupBy("a", "b").agg(F.count("*").alias("weight"))
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df without its lineage, kept in the shared folder of the session."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="lodestone-"))
+    return df.checkpoint()
+
+
+def both_ways(pairs: DataFrame) -> DataFrame:
+    """src, dst, weight in both directions of a, b, weight."""
+    e = pairs.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight")
+    return e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
+
+
+def reached(edges: DataFrame, seeds: DataFrame, hops: int = 2) -> DataFrame:
+    """edges(src, dst), seeds(qid, entity) -> qid, entity, length, path: what lies within `hops` steps
+    of a question's seeds, by the shortest path (of several the first in order); a seed has length 1,
+    and an entity weighs 1 / length. Nothing is capped: each step is a join on the frontier."""
+    e = edges.select("src", "dst").distinct()
+    front = seeds.select("qid", "entity", F.lit(1).alias("length"), F.array("entity").alias("path")).distinct()
+    seen = front
+    for step in range(2, hops + 2):
+        near = front.join(e, front["entity"] == e["src"]).select("qid", F.col("dst").alias("entity"), F.concat("path", F.array("dst")).alias("path"))
+        near = near.join(seen.select("qid", "entity"), ["qid", "entity"], "left_anti").groupBy("qid", "entity").agg(F.min("path").alias("path"))
+        front = cut(near.select("qid", "entity", F.lit(step).alias("length"), "path"))
+        seen = seen.unionByName(front)
+    return seen
+
+
+def walk_ranks(edges: DataFrame, start: DataFrame, damping: float = 0.85, rounds: int = 40, tolerance: float = 1e-6) -> DataFrame:
+    """edges(src, dst, weight), start(entity, weight) -> entity, rank: a random walk that returns to
+    its start with probability 1 - damping, always from where no edge leads on. Nothing where no
+    start lies in the graph with a positive weight. Ranks travel along joins; only their total
+    change comes to the driver."""
+    e = cut(edges.groupBy("src", "dst").agg(F.sum("weight").alias("w")))
+    out = e.groupBy("src").agg(F.sum("w").alias("total"))
+    share = cut(e.join(out, "src").where("total > 0").select("src", "dst", (F.col("w") / F.col("total")).alias("share")))
+    nodes = e.select(F.col("src").alias("entity")).union(e.select("dst")).distinct()
+    begin = start.groupBy("entity").agg(F.sum("weight").cast("double").alias("p"))
+    total = begin.agg(F.sum("p")).first()[0] or 0.0
+    if total <= 0:
+        return nodes.select("entity", F.lit(0.0).alias("rank")).limit(0)
+    leads = share.select(F.col("src").alias("entity"), F.lit(True).alias("leads")).distinct()
+    n = nodes.join(begin, "entity", "left").join(leads, "entity", "left")
+    n = cut(n.select("entity", (F.coalesce("p", F.lit(0.0)) / total).alias("p"), F.coalesce("leads", F.lit(False)).alias("leads")))
+    r = n.select("entity", "p", "leads", F.col("p").alias("rank"))
+    for _ in range(rounds):
+        stuck = r.where("not leads").agg(F.sum("rank")).first()[0] or 0.0
+        moved = r.join(share, r["entity"] == share["src"]).groupBy(F.col("dst").alias("entity")).agg(F.sum(F.col("rank") * F.col("share")).alias("moved"))
+        after = (1 - damping + damping * stuck) * F.col("p") + damping * F.coalesce("moved", F.lit(0.0))
+        x = cut(r.join(moved, "entity", "left").select("entity", "p", "leads", after.alias("new"), "rank"))
+        change = x.agg(F.sum(F.abs(F.col("new") - F.col("rank")))).first()[0] or 0.0
+        r = x.select("entity", "p", "leads", F.col("new").alias("rank"))
+        if change < tolerance:
+            break
+    return r.select("entity", "rank")
+
+
+def passage_ranks(of: DataFrame, ranks: DataFrame) -> DataFrame:
+    """members(entity, id), ranks(entity, rank) -> id, score: the ranks of a passage's entities, 1 for the best passage."""
+    s = of.join(ranks, "entity").groupBy("id").agg(F.sum("rank").alias("s"))
+    top = s.agg(F.max("s").alias("top"))
+    return s.crossJoin(F.broadcast(top)).where("s > 0").select("id", F.round(F.col("s") / F.col("top"), 4).alias("score"))  # one row
