@@ -5,7 +5,10 @@ from __future__ import annotations
 import hashlib
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import short_hash
 
 SIZE, OVERLAP = 900, 150
 PASSAGES = "id string, document_id string, filename string, text string, page int, start int, end int"
@@ -54,3 +57,40 @@ def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Data
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in PASSAGES.split(", ")])
 
     return pages.select("filename", "page", "text").mapInArrow(run, PASSAGES)
+
+
+def parents(passages: DataFrame, size: int = 1800) -> DataFrame:
+    """passages -> id, document_id, page, start, end, text, parent: consecutive passages of a page share a parent (from 1)
+    until its texts would exceed `size` characters. Each choice depends on the ones before, so a
+    sorted partition is folded as it streams by; nothing is held but the last sum."""
+
+    def run(batches):
+        key, total, parent = None, 0, 0
+        for b in batches:
+            out = []
+            for doc, page, n in zip(*(b.column(c).to_pylist() for c in ("document_id", "page", "n"))):
+                if (doc, page) != key:
+                    key, total, parent = (doc, page), n, 1
+                elif total + n > size:
+                    total, parent = n, parent + 1
+                else:
+                    total += n
+                out.append(parent)
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(out, pa.int32())], [*names, "parent"])
+
+    names = ["id", "document_id", "page", "start", "end", "text"]
+    p = passages.select(*names, F.length("text").alias("n")).repartition("document_id", "page").sortWithinPartitions("document_id", "page", "start")
+    return p.mapInArrow(run, "id string, document_id string, page int, start int, end int, text string, parent int")
+
+
+def stitched(children: DataFrame) -> DataFrame:
+    """Output of parents -> parent_id, document_id, page, start, end, text, children (their ids): the text without what
+    consecutive passages share; a blank stands between passages that share nothing."""
+    before = F.lag("end").over(Window.partitionBy("document_id", "page", "parent").orderBy("start"))
+    shared = F.col("before") - F.col("start")
+    rest = F.when(F.col("before").isNull() | (shared >= F.length("text")), F.col("text")).when(shared > 0, F.substr("text", shared + 1)).otherwise(F.concat(F.lit(" "), F.col("text")))
+    part = children.withColumn("before", before).select("document_id", "page", "parent", "start", "end", "id", rest.alias("rest"))
+    all_ = F.array_sort(F.collect_list(F.struct("start", "rest", "id")))
+    g = part.groupBy("document_id", "page", "parent").agg(F.min("start").alias("start"), F.max("end").alias("end"), all_.alias("all"))
+    key = F.concat_ws(":", F.lit("parent"), "document_id", F.col("page").cast("string"), F.col("start").cast("string"), F.col("end").cast("string"))
+    return g.select(short_hash(key).alias("parent_id"), "document_id", "page", "start", "end", F.array_join(F.col("all.rest"), "").alias("text"), F.col("all.id").alias("children"))

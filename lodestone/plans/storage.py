@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import graph, resolution, store
-from .queries import _read, passages, query
+from ..operators import chunking, graph, resolution, store
+from .queries import _CHUNKS, _read, passages, query
 
 
 def _events(spark, d):
@@ -124,3 +124,21 @@ def gr_ppr(spark, d):
     """Ranks of a walk that starts at region 0."""
     start = _read(spark, d, "region").where("r_regionkey = 0").select(F.col("r_name").alias("entity"), F.lit(1.0).alias("weight"))
     return graph.walk_ranks(_trade(spark, d), start).select("entity", F.round("rank", 6).alias("rank"))
+
+
+_PARENTS = f"""with recursive {_CHUNKS}, pr as (select *, length(text) as n, row_number() over (partition by document_id order by start_at) as rn from passages_),
+fold(document_id, rn, total, parent) as (select document_id, rn, n, 1 from pr where rn = 1 union all
+  select p.document_id, p.rn, case when total + n > 1800 then n else total + n end, case when total + n > 1800 then parent + 1 else parent end from fold f join pr p on p.document_id = f.document_id and p.rn = f.rn + 1),
+c as (select *, lag(end_at) over (partition by document_id, parent order by start_at) - start_at as shared from pr join fold using (document_id, rn))"""
+
+
+@query("win_parent", _PARENTS + " select id, parent::bigint as parent from c")
+def win_parent(spark, d):
+    return chunking.parents(passages(spark, d)).select("id", F.col("parent").cast("long").alias("parent"))
+
+
+@query("win_stitch", _PARENTS + """ select substr(sha256('parent:' || document_id || ':1:' || min(start_at) || ':' || max(end_at)), 1, 24) as parent_id, count(*)::bigint as children,
+  sha256(string_agg(case when shared is null or shared >= n then text when shared > 0 then substr(text, shared + 1) else ' ' || text end, '' order by start_at)) as text_sha256 from c group by document_id, parent""")
+def win_stitch(spark, d):
+    s = chunking.stitched(chunking.parents(passages(spark, d)))
+    return s.select("parent_id", F.size("children").cast("long").alias("children"), F.sha2("text", 256).alias("text_sha256"))
