@@ -82,3 +82,13 @@ def parts(q: Column, most: int = 3) -> Column:
         .when(F.rlike(clean, F.lit(COMPARE)), sides(COMPARE)).when(F.rlike(clean, F.lit(VERSUS)), sides(VERSUS)).when(F.rlike(clean, F.lit(JOINED)), joined).otherwise(F.array(clean))
     )
     return F.slice(found, 1, most)
+
+
+def feedback(passage: Column, question: Column, most: int = 5) -> Column:
+    """The most frequent words of four letters and more of a passage that the question lacks; of
+    equally frequent ones the first to occur."""
+    asked = tokens(question)
+    words = F.filter(tokens(passage), lambda w: (F.length(w) >= 4) & ~F.array_contains(asked, w))
+    once = F.array_distinct(words)
+    rank = F.transform(once, lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), F.array_position(words, w).alias("at"), w.alias("w")))
+    return F.transform(F.slice(F.array_sort(rank), 1, most), lambda r: r["w"])

@@ -161,3 +161,12 @@ r as (select *, row_number() over (partition by qid order by score desc, positio
 select qid, rank::bigint as rank, position, sha256(sentence) as sentence_sha256 from r where rank <= 3""")
 def pl_extract(spark, d):
     return answers.extracted(found(spark, d)).select("qid", F.col("rank").cast("long").alias("rank"), "position", F.sha2("sentence", 256).alias("sentence_sha256"))
+
+
+@query("agg_prf", f"""with {_PAIRS}, w as (select conv_id, turn, list_filter({tokens_sql('text')}, lambda w: length(w) >= 4) as ws, {tokens_sql('before')} as q from pairs_),
+u as (select conv_id, turn, unnest(ws) as w, unnest(range(len(ws))) as i, q from w),
+g as (select conv_id, turn, w, count(*) as n, min(i) as i from u where not list_contains(q, w) group by all),
+r as (select *, row_number() over (partition by conv_id, turn order by n desc, i) as k from g)
+select w.conv_id, w.turn, coalesce(string_agg(r.w, ' ' order by k) filter (where k <= 5), '') as terms from w left join r using (conv_id, turn) group by w.conv_id, w.turn""")
+def agg_prf(spark, d):
+    return pairs(spark, d).select("conv_id", "turn", F.array_join(R.feedback(F.col("text"), F.col("before")), " ").alias("terms"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vectors as V
 from ..operators import chunking, graph, resolution, store
 from .queries import _CHUNKS, _read, passages, query
 
@@ -142,3 +143,37 @@ def win_parent(spark, d):
 def win_stitch(spark, d):
     s = chunking.stitched(chunking.parents(passages(spark, d)))
     return s.select("parent_id", F.size("children").cast("long").alias("children"), F.sha2("text", 256).alias("text_sha256"))
+
+
+def _blend_sql(a: str, b: str, w: float) -> str:
+    return f"list_transform(list_zip({a}, {b}), lambda z: z[1]::double * {1 - w} + z[2]::double * {w})"
+
+
+@query("scl_trunc", "with p as (select vec_id, list_slice(embedding, 1, 16) as s from embeddings), n as (select *, sqrt(list_sum(list_transform(s, lambda x: x::double * x::double))) as n from p) select vec_id, round(case when n > 0 then s[1]::double / n else s[1]::double end, 6) as first, round(case when n > 0 then list_sum(list_transform(s, lambda x: x::double)) / n else 0 end, 6) as total from n")
+def scl_trunc(spark, d):
+    """The first 16 components, brought to unit length."""
+    p = _read(spark, d, "embeddings").select("vec_id", V.prefix(F.col("embedding"), 16).alias("s"))
+    return p.select("vec_id", F.round(F.element_at("s", 1), 6).alias("first"), F.round(F.aggregate("s", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+
+
+_CENTRES = "x as (select label, i, sum(x::double) as s from (select label, unnest(embedding) as x, unnest(range(len(embedding))) as i from embeddings) group by all), centre as (select label, list(s order by i) as c from x group by label), unit as (select label, list_transform(c, lambda y: y / sqrt(list_sum(list_transform(c, lambda z: z * z)))) as c from centre)"
+
+
+def _centred(spark, d):
+    """Vectors with the unit centroid of their label; one row for each label is joined."""
+    e = _read(spark, d, "embeddings")
+    sums = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.sum(F.col("x").cast("double")).alias("s"))
+    centre = sums.groupBy("label").agg(V.normalized(F.transform(F.array_sort(F.collect_list(F.struct("i", "s"))), lambda p: p["s"])).alias("c"))
+    return e.join(centre, "label")
+
+
+@query("scl_cos", f"with {_CENTRES} select vec_id, round(list_sum(list_transform(list_zip(embedding, c), lambda z: z[1]::double * z[2])) / (sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))) * sqrt(list_sum(list_transform(c, lambda y: y * y)))), 6) as cosine from embeddings join unit using (label)")
+def scl_cos(spark, d):
+    return _centred(spark, d).select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("c")), 6).alias("cosine"))
+
+
+@query("scl_blenddoc", f"with {_CENTRES}, b as (select vec_id, {_blend_sql('embedding', 'c', 0.25)} as b from embeddings join unit using (label)), n as (select *, sqrt(list_sum(list_transform(b, lambda y: y * y))) as n from b) select vec_id, round(b[1] / n, 6) as first, round(list_sum(b) / n, 6) as total from n")
+def scl_blenddoc(spark, d):
+    """Vectors drawn a quarter of the way to the centroid of their label."""
+    b = _centred(spark, d).select("vec_id", V.blended(F.col("embedding"), F.col("c"), 0.25).alias("b"))
+    return b.select("vec_id", F.round(F.element_at("b", 1), 6).alias("first"), F.round(F.aggregate("b", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
