@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import entities, normalize, tokens
+from .text import entities, let, normalize, tokens
 
 # Openings, citation marks and words that a rewritten question leaves out, and the
 # patterns by which questions are taken apart.
@@ -87,8 +87,11 @@ def parts(q: Column, most: int = 3) -> Column:
 def feedback(passage: Column, question: Column, most: int = 5) -> Column:
     """The most frequent words of four letters and more of a passage that the question lacks; of
     equally frequent ones the first to occur."""
-    asked = tokens(question)
-    words = F.filter(tokens(passage), lambda w: (F.length(w) >= 4) & ~F.array_contains(asked, w))
+    words = let(tokens(question), lambda asked: F.filter(tokens(passage), lambda w: (F.length(w) >= 4) & ~F.array_contains(asked, w)))
+    return let(words, lambda w: _frequent(w, most))
+
+
+def _frequent(words: Column, most: int) -> Column:
     once = F.array_distinct(words)
     rank = F.transform(once, lambda w: F.struct((-F.size(F.filter(words, lambda x: x == w))).alias("n"), F.array_position(words, w).alias("at"), w.alias("w")))
     return F.transform(F.slice(F.array_sort(rank), 1, most), lambda r: r["w"])

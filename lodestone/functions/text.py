@@ -88,3 +88,8 @@ def overlap(a: Column, b: Column) -> Column:
 def jaccard(a: Column, b: Column) -> Column:
     union = F.size(F.array_union(a, b))
     return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with value computed once for a row, however often body and its lambdas use it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
