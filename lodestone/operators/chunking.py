@@ -94,3 +94,27 @@ def stitched(children: DataFrame) -> DataFrame:
     g = part.groupBy("document_id", "page", "parent").agg(F.min("start").alias("start"), F.max("end").alias("end"), all_.alias("all"))
     key = F.concat_ws(":", F.lit("parent"), "document_id", F.col("page").cast("string"), F.col("start").cast("string"), F.col("end").cast("string"))
     return g.select(short_hash(key).alias("parent_id"), "document_id", "page", "start", "end", F.array_join(F.col("all.rest"), "").alias("text"), F.col("all.id").alias("children"))
+
+
+def siblings(passages: DataFrame, most: int = 1200, size: int = SIZE) -> DataFrame:
+    """passages -> id, context: each passage with its neighbours of the page, one before and one after
+    by turns, while the whole stays within `most` characters; one that is too long is passed over,
+    and a turn that adds nothing is the last. As all passages of a page but its last have half of `size` at
+    least, a fixed number of neighbours holds every case."""
+    radius = most // (size // 2 + 2) + 2
+    w = Window.partitionBy("document_id", "page").orderBy("start")
+    p = passages.select("id", "text", F.reverse(F.collect_list("text").over(w.rowsBetween(-radius, -1))).alias("b"), F.collect_list("text").over(w.rowsBetween(1, radius)).alias("a"))
+    state = lambda n, b, a, on: F.struct(n.cast("int").alias("n"), b.alias("b"), a.alias("a"), on.alias("on"))
+    none = F.array().cast("array<string>")
+
+    def turn(s, k):
+        before, after = F.try_element_at(F.col("b"), k), F.try_element_at(F.col("a"), k)
+        back = F.coalesce(s["n"] + F.length(before) + 2 <= most, F.lit(False))
+        n = F.when(back, s["n"] + F.length(before) + 2).otherwise(s["n"])
+        on = F.coalesce(n + F.length(after) + 2 <= most, F.lit(False))
+        b = F.when(back, F.concat(F.array(before), s["b"])).otherwise(s["b"])
+        a = F.when(on, F.concat(s["a"], F.array(after))).otherwise(s["a"])
+        return F.when(s["on"] & (s["n"] < most), state(F.when(on, n + F.length(after) + 2).otherwise(n), b, a, back | on)).otherwise(s)
+
+    rounds = F.aggregate(F.sequence(F.lit(1), F.lit(radius)), state(F.length("text"), none, none, F.lit(True)), turn)
+    return p.select("id", "text", rounds.alias("r")).select("id", F.array_join(F.concat("r.b", F.array("text"), "r.a"), "\n\n").alias("context"))

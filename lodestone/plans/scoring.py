@@ -64,8 +64,8 @@ _SENTENCES = "list_filter(list_transform(string_split(regexp_replace(coalesce(te
 
 
 @query("scl_sentscore", f"""with {_PAIRS}, s as (select conv_id, turn, before, unnest({_SENTENCES}) as s from pairs_),
-w as (select *, {tokens_sql('before')} as q, {tokens_sql('s')} as t, lower(s) as low from s),
-c as (select *, len(list_intersect(list_distinct(q), t)) / greatest(1, len(list_distinct(q)))::double as cover, len(list_filter({grams_sql('q', 2)}, lambda g: contains(low, g))) > 0 as paired from w),
+w as (select *, {tokens_sql('before')} as q, regexp_extract_all(lower(before), '[a-z0-9_]+') as runs, {tokens_sql('s')} as t, lower(s) as low from s),
+c as (select *, len(list_intersect(list_distinct(q), t)) / greatest(1, len(list_distinct(q)))::double as cover, len(list_filter({grams_sql('runs', 2)}, lambda g: contains(low, g))) > 0 as paired from w),
 r as (select *, case when length(s) < 15 or len(t) = 0 or regexp_matches(low, '{T.BOILERPLATE[0]}|{T.BOILERPLATE[1]}|{T.BOILERPLATE[2]}') or (cover = 0 and not paired) then 0.0
   else least(1.0, round(cover + case when paired then 0.25 else 0 end + case when regexp_matches(low, '{C.DEFINING}') then 0.05 else 0 end, 4)) end::double as score from c)
 select conv_id, turn, count(*)::bigint as n_sentences, max(score) as best, round(sum(score), 4) as total from r group by conv_id, turn""")
