@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import scoring
 from ..functions import vectors as V
-from ..functions.text import tokens
+from ..functions.rewriting import weights
+from ..functions.text import entities, overlap, tokens
 
 K1, B, EXPANSION_WEIGHT, FUSION_K, DEPTH = 1.5, 0.75, 0.25, 60, 60
 
@@ -70,3 +72,61 @@ def _small(df: DataFrame, most: int = 64 << 20) -> bool:
 def edge_order(rank, size):
     """Position (from 1) of a rank in an order whose best items stand at both ends: 1 3 5 ... 6 4 2."""
     return F.when(size <= 2, rank).when(rank % 2 == 1, (rank + 1) / 2).otherwise(size - rank / 2 + 1).cast("int")
+
+
+def selected(candidates: DataFrame, top_k: int = 5, least: float = 0.12, shared: float = 0.6) -> DataFrame:
+    """candidates(qid, id, document_id, page, start, end, relevance, graph, fusion), at most DEPTH of a question ->
+    qid, source_id (S1 ...), id, relevance, fusion: best first, without those of a relevance under `least` that the graph
+    doesn't reach and those that share more than `shared` of the shorter passage with one already taken.
+    Each choice depends on the ones before: a fold over the row of a question."""
+    keep = candidates.where((F.col("relevance") >= least) | (F.coalesce("graph", F.lit(0.0)) > 0))
+    one = F.struct((-F.col("relevance")).alias("r"), (-F.col("fusion")).alias("f"), "id", "document_id", "page", "start", "end")
+    g = keep.groupBy("qid").agg(F.array_sort(F.collect_list(one)).alias("all")).withColumn("none", F.slice("all", 1, 0))
+
+    def crowds(s, c):
+        both = F.least(s["end"], c["end"]) - F.greatest(s["start"], c["start"])
+        return (s["document_id"] == c["document_id"]) & (s["page"] == c["page"]) & (both > shared * F.least(s["end"] - s["start"], c["end"] - c["start"]))
+
+    fold = F.aggregate("all", F.col("none"), lambda out, c: F.when((F.size(out) < top_k) & ~F.exists(out, lambda s: crowds(s, c)), F.array_append(out, c)).otherwise(out))
+    x = g.select("qid", F.posexplode(fold).alias("at", "c"))
+    return x.select("qid", F.concat(F.lit("S"), (F.col("at") + 1).cast("string")).alias("source_id"), "c.id", (-F.col("c.r")).alias("relevance"), (-F.col("c.f")).alias("fusion"))
+
+
+def entity_fit(asked: Column, held: Column, path: Column) -> Column:
+    """0.5 where no entity is asked for; else by the share that the passage holds, 0.75 on its path, 0.2."""
+    n = F.size(F.array_intersect(asked, held))
+    return F.when(F.size(asked) == 0, 0.5).when(n > 0, 0.7 + 0.3 * n / F.size(asked)).when(F.size(F.array_intersect(asked, path)) > 0, 0.75).otherwise(0.2)
+
+
+def reranked(candidates: DataFrame) -> DataFrame:
+    """candidates(question, text, vector, graph, path; nulls count as none) -> with relevance."""
+    t, q = F.col("text"), F.col("question")
+    vector, graph = F.least(F.lit(1.0), F.coalesce("vector", F.lit(0.0))), F.coalesce("graph", F.lit(0.0))
+    x = candidates.withColumn("_asked", F.array_distinct(tokens(q))).withColumn("_words", tokens(t))
+    lexical = overlap(F.col("_asked"), F.col("_words"))
+    held = F.array_intersect("_asked", "_words")
+    path = F.transform(F.coalesce("path", F.array().cast("array<string>")), lambda p: F.lower(p))
+    x = x.withColumn("_lex", lexical).withColumn("_max", F.when((F.col("_lex") > 0) | (vector > 0) | (graph > 0), scoring.late_interaction(tokens(q), F.col("_words"))).otherwise(0.0))
+    x = x.withColumn("_phrase", scoring.phrase(q, t)).withColumn("_near", scoring.proximity(held, t)).withColumn("_ent", entity_fit(entities(q), entities(t), path))
+    lex, words, ph, near, ent = (F.col(c) for c in ("_lex", "_max", "_phrase", "_near", "_ent"))
+    with_vector = 0.2 * lex + 0.2 * vector + 0.2 * words + 0.15 * ph + 0.15 * near + 0.1 * ent
+    without = 0.25 * lex + 0.25 * words + 0.2 * ph + 0.15 * near + 0.15 * ent
+    score = F.when(vector > 0, with_vector).otherwise(without) + F.when(graph > 0, F.least(F.lit(0.1), 0.05 * graph)).otherwise(0.0)
+    idle = (lex == 0) & (vector <= 0) & (graph <= 0) & (words <= 0)
+    return x.withColumn("relevance", F.when(idle, 0.0).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 4))).drop("_asked", "_words", "_lex", "_max", "_phrase", "_near", "_ent")
+
+
+def retrieve(passages: DataFrame, questions: DataFrame, channels: DataFrame | None = None, expansion: DataFrame | None = None, top_k: int = 5) -> DataFrame:
+    """passages(PASSAGES), questions(qid, text), channels(qid, channel, id, score, path) of further channels ("vector", "graph") -> selected. Keyword
+    scores and channels are fused with the weights that a question's words give them; the DEPTH best are
+    scored again with all their features, and what is left is picked without overlap."""
+    w = questions.select("qid", weights(F.col("text")).alias("w")).select("qid", F.explode(F.create_map(F.lit("keyword"), "w.keyword", F.lit("vector"), "w.vector", F.lit("graph"), "w.graph")).alias("channel", "weight"))
+    kinds = "qid", "channel", "id", "score", "path"
+    all_ = keyword_scores(passages, questions, expansion).withColumn("channel", F.lit("keyword")).withColumn("path", F.lit(None).cast("array<string>")).select(*kinds)
+    all_ = all_ if channels is None else all_.unionByName(channels.select(*kinds))
+    best = ranked(all_, DEPTH, ("qid", "channel")).join(w, ["qid", "channel"])
+    of = lambda c, x: F.max(F.when(F.col("channel") == c, F.col(x)))
+    f = best.groupBy("qid", "id").agg(F.sum(F.col("weight") / (FUSION_K + F.col("rank"))).alias("score"), of("vector", "score").alias("vector"), of("graph", "score").alias("graph"), of("graph", "path").alias("path"))
+    pool = ranked(f, DEPTH).withColumnRenamed("score", "fusion").drop("rank")
+    x = pool.join(passages.select("id", "document_id", "page", "start", "end", "text"), "id").join(questions.select("qid", F.col("text").alias("question")), "qid")
+    return selected(reranked(x), top_k)
