@@ -118,3 +118,11 @@ def siblings(passages: DataFrame, most: int = 1200, size: int = SIZE) -> DataFra
 
     rounds = F.aggregate(F.sequence(F.lit(1), F.lit(radius)), state(F.length("text"), none, none, F.lit(True)), turn)
     return p.select("id", "text", rounds.alias("r")).select("id", F.array_join(F.concat("r.b", F.array("text"), "r.a"), "\n\n").alias("context"))
+
+
+def rolled_up(evidence: DataFrame, sections: DataFrame) -> DataFrame:
+    """evidence(id, filename, page, ...), output of stitched -> with context: the text of the section that a passage
+    belongs to under its name; null where it has none."""
+    of = sections.select(F.explode("children").alias("id"), F.col("text").alias("_section"))
+    name = F.concat(F.lit("[Parent Section: "), "filename", F.lit(" p."), F.col("page").cast("string"), F.lit("]\n"), "_section")
+    return evidence.join(of, "id", "left").withColumn("context", name).drop("_section")

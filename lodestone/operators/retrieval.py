@@ -130,3 +130,16 @@ def retrieve(passages: DataFrame, questions: DataFrame, channels: DataFrame | No
     pool = ranked(f, DEPTH).withColumnRenamed("score", "fusion").drop("rank")
     x = pool.join(passages.select("id", "document_id", "page", "start", "end", "text"), "id").join(questions.select("qid", F.col("text").alias("question")), "qid")
     return selected(reranked(x), top_k)
+
+
+def kept_by_prefix(passages: DataFrame, questions: DataFrame, coarse: int, k: int = 10) -> DataFrame:
+    """passages(id, vector), questions(qid, vector) -> qid, retention: share of the k best passages by whole
+    vectors that are among the k best by unit prefixes. The questions are a given set."""
+    unit = lambda v: V.normalized(F.col(v))
+    c = passages.select("id", unit("vector").alias("v"), V.prefix(F.col("vector"), coarse).alias("s"))
+    q = questions.select("qid", unit("vector").alias("u"), V.prefix(F.col("vector"), coarse).alias("t"))
+    x = c.join(F.broadcast(q), F.lit(True)) if _small(q) else c.join(q, F.lit(True))
+    x = x.select("qid", "id", F.round(V.dot(F.col("v"), F.col("u")), 9).alias("whole"), F.round(V.dot(F.col("s"), F.col("t")), 9).alias("part"))
+    best = lambda by: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(by), "id")) <= k
+    x = x.withColumn("a", best("whole")).withColumn("b", best("part")).where("a or b")
+    return x.groupBy("qid").agg(F.round(F.count_if(F.col("a") & F.col("b")) / F.greatest(F.count_if("a"), F.lit(1)), 6).alias("retention"))
