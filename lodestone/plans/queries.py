@@ -280,4 +280,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
     return win_rank(spark, d)
 
 
-from . import context, drafting, passages as _passages, scoring, storage  # noqa: E402, F401  they register their queries
+from . import communities, context, drafting, passages as _passages, scoring, storage  # noqa: E402, F401  they register their queries
