@@ -1,7 +1,9 @@
 """License scans by an exact set-similarity join between text blocks and notice templates.
 
-A block is a line, or, in lines of over BLOCK words, every window of BLOCK words that starts at a
-multiple of BLOCK / 2. A block matches a template when it holds at least THRESHOLD of the
+Blocks are taken from the whole text, whatever its line breaks, and from every line: all of its
+words, or, where these are over BLOCK, every window of BLOCK words that starts at a multiple of
+BLOCK / 2. So a notice wrapped over lines meets a block too. OP1_SQL states the blocks of lines
+only; it agrees wherever no notice needs more than one line. A block matches a template when it holds at least THRESHOLD of the
 template's distinct words, and no fewer than MIN_WORDS of them (all, of a smaller template). The
 join is exact: template words are ordered by their frequency over all documents, the rarest first;
 a template's prefix (size - need + 1 words) must share a word with the prefix of every block that
@@ -11,7 +13,7 @@ what remains is verified. Only DataFrame functions are used, and no text is shuf
 Besides, base phrases are found wherever their words stand consecutively in the whole text.
 
 Defined cases: a null or empty text has no words and no labels, score 0; repeated rows give
-repeated rows; very long lines are cut in windows, none is left out; an empty table gives no rows.
+repeated rows; long texts and lines are cut in windows, no word is left out; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -49,6 +51,14 @@ def _holds(text: Column, words) -> Column:
     return found
 
 
+def _holds_enough(text: Column, sets: dict[str, list[str]], need: dict[str, int]) -> Column:
+    """A cheap superset of the texts that hold as many words of a template as it needs."""
+    found = F.lit(False)
+    for label, own in sets.items():
+        found = found | (sum((F.contains(text, F.lit(w)).cast("int") for w in own), F.lit(0)) >= need[label])
+    return found
+
+
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[str, str] = PHRASES, threshold: float = THRESHOLD, min_words: int = MIN_WORDS) -> DataFrame:
     """One row per row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels,
     labels, score (the largest share of a template that a block holds, 1 at a base phrase)."""
@@ -73,8 +83,11 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
     spark = docs.sparkSession
     prefixes = F.broadcast(spark.createDataFrame(index, "token string, label string, i int, size int, need int, tokens array<string>"))  # as large as the templates
 
-    # blocks
-    lines = rows.where(_holds(F.lower("text"), prefix_words)).select("doc_id", "row_key", F.explode(F.split(ascii_lower(F.col("text")), "\n")).alias("line"))
+    # blocks, of the whole text and of its lines
+    texts = rows.where(_holds(F.lower("text"), prefix_words)).select("doc_id", "row_key", ascii_lower(F.col("text")).alias("body"))
+    texts = texts.where(_holds_enough(F.col("body"), sets, need))
+    parts = F.when(F.contains("body", F.lit("\n")), F.concat(F.array("body"), F.split("body", "\n"))).otherwise(F.array("body"))
+    lines = texts.select("doc_id", "row_key", F.explode(parts).alias("line"))
     words = lines.where(_holds(F.col("line"), prefix_words)).select("doc_id", "row_key", _words(F.col("line")).alias("words"))
     last = F.greatest(F.lit(0), F.ceil((F.size("words") - BLOCK) / (BLOCK // 2))).cast("int")
     blocks = words.select("doc_id", "row_key", "words", F.explode(F.sequence(F.lit(0), last)).alias("k"))

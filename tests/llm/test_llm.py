@@ -72,6 +72,21 @@ def test_license(spark):
     assert all(0 <= r["score"] <= 1 for r in got) and license_scan.scan(make(spark, [])).count() == 0
 
 
+def test_license_wrapped(spark):
+    """Notices as published, wrapped over lines; the words of a template far apart are none."""
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:"
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\r\n// License, v. 2.0. If a copy of the MPL was not distributed with this file"
+    gpl = "This work is licensed under the GNU\nGeneral Public License version 3"
+    fill = "\n".join(["lorem ipsum dolor sit amet"] * 40)
+    far = "redistribution and use in source\n" + fill + "\nbinary forms with or without modification are permitted"
+    rows = [bsd, mpl, gpl, bsd.replace(" ", "\n"), f"{fill}\n{bsd}\n{fill}\n{mpl}\n{fill}", far]
+    for k in range(20, 45):  # at every place of the windows
+        rows.append("w\n" * k + mpl)
+    got = license_scan.scan(make(spark, rows)).orderBy("doc_id").collect()
+    assert [r["labels"] for r in got[:6]] == ["bsd-3-clause", "mpl-2.0", "gpl,gpl-3.0", "bsd-3-clause", "bsd-3-clause,mpl-2.0", ""]
+    assert [r["score"] for r in got[:6]] == [1, 1, 1, 1, 1, 0] and {(r["labels"], r["score"]) for r in got[6:]} == {("mpl-2.0", 1.0)}
+
+
 def test_mixing(spark):
     rnd = random.Random(3)
     docs = make(spark, [" ".join("w" * rnd.randint(1, 40)) for _ in range(900)] + [None, ""], lambda i: [None, "a", "b", "c", "c", "c"][i % 6])
