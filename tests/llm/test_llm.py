@@ -55,6 +55,16 @@ def test_components(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_long_chains(spark):
+    """Chains of 1,000 nodes: ids that rise, that fall and that alternate, and a hub of the largest id."""
+    n = 1000
+    zigzag = [x for k in range(n // 2) for x in (k, n - 1 - k)]
+    links = [(i, i + 1) for i in range(n - 1)] + [(2 * n - i, 2 * n - i - 1) for i in range(1, n)]
+    links += [(2 * n + a, 2 * n + b) for a, b in zip(zigzag, zigzag[1:])] + [(4 * n - 1, 3 * n + i) for i in range(n - 1)]
+    got = {r["node"]: r["root"] for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {i: i // n * n for i in range(4 * n)}
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 3, 10, 1000, 50000])
 def test_fuse_filter(n):
     rng = np.random.default_rng(n)
