@@ -34,3 +34,15 @@ def test_command_line(spark, tmp_path, capsys):
     assert out["status"] == "supported" and out["claims"][0] == {"source_id": "S1", "text": "Redis failover is handled by Sentinel nodes."}
     assert main(["ask", index, "zebra"], spark) == 0 and json.loads(capsys.readouterr().out)["status"] == "abstained"
     assert main(["ask", index, " "], spark) == 1 and main(["what"], spark) == 2
+
+
+def test_command_line_lists_all(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    for i in range(1050):
+        (tmp_path / "in" / f"{i}.txt").write_text(f"text number {i}")
+    for i in range(120):
+        (tmp_path / "in" / f"bad{i}.txt").write_bytes(b"\xff\xfe\x80")
+    assert main(["ingest", str(tmp_path / "in"), str(tmp_path / "index")], spark) == 0
+    assert len(json.loads(capsys.readouterr().out)["failed"]) == 120
+    assert main(["documents", str(tmp_path / "index")], spark) == 0
+    assert len(json.loads(capsys.readouterr().out)) == 1050
