@@ -1,4 +1,5 @@
-"""Incremental ingest: a stream of pages into a passage table, idempotent by digest."""
+"""Incremental ingest: a stream of pages into a passage table, idempotent by micro-batch. Documents that
+arrive again in a later batch are not replaced yet."""
 
 from __future__ import annotations
 
