@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import bounded, materialize, table
 
 #: Splits at white space the way the full pattern does; the rest of the pattern then works inside a
 #: chunk alone, so chunks can be cached whole.
@@ -33,8 +33,11 @@ WHITE = r"\t-\r \x85\xa0  -     　"
 CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 #: Fixed value: the pre-token pattern of the vocabulary file, inside a chunk.
 INNER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Characters of text that a worker handles at once (a longer text alone), and cached chunks.
-BLOCK_CHARS, CACHE_CHUNKS = 6_000_000, 400_000
+#: Characters of text that a worker handles at once (a longer text alone), and bytes that its cached
+#: chunks may take between blocks; a worker outlives its task, so the cache is emptied when one ends.
+BLOCK_CHARS, CACHE_BYTES = 1_000_000, 32 << 20
+#: Bytes of a cached chunk besides its characters and ids: two object headers and the entry.
+ENTRY_BYTES = 180
 
 
 def byte_letters() -> dict[str, int]:
@@ -77,6 +80,16 @@ class Bpe:
         self.inner = regex.compile(INNER)
         self.cut = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
         self.cache: dict[str, bytes] = {}
+        self.cache_bytes = 0
+
+    def forget(self, keep: set[str] = frozenset()) -> None:
+        """Empties the cache but for the chunks to keep."""
+        self.cache = {c: x for c, x in self.cache.items() if c in keep}
+        self.cache_bytes = sum(ENTRY_BYTES + len(c) + len(x) for c, x in self.cache.items())
+
+    def _remember(self, chunks: list[str], ids: list[bytes]) -> None:
+        self.cache.update(zip(chunks, ids))
+        self.cache_bytes += sum(map(len, chunks)) + sum(map(len, ids)) + ENTRY_BYTES * len(ids)
 
     def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Ranks of pairs, -1 where there is none (a negative symbol is a border)."""
@@ -171,17 +184,17 @@ class Bpe:
         data = gather(ids.astype("<u4"), starts_of, counts_of).tobytes()
         ends = np.cumsum(counts_of) * 4
         own = ends[is_mark].tolist()
-        self.cache.update({c: data[i:j] for c, i, j in zip(names, [0, *own], own)})
+        self._remember(names, [data[i:j] for i, j in zip([0, *own], own)])
         tail = [*own[-1:], *ends[len(pieces) - len(blank) :].tolist()] if own else [0, *ends.tolist()]
-        self.cache.update({c: data[i:j] for c, i, j in zip(blank, tail, tail[1:])})
+        self._remember(blank, [data[i:j] for i, j in zip(tail, tail[1:])])
 
     def encode_block(self, texts: list[str]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         cut = [self.cut.split(t) if self.cut else [t] for t in texts]
         found = [[CHUNK.findall(s) if i % 2 == 0 else s for i, s in enumerate(parts)] for parts in cut]
         seen = {c for parts in found for own in parts[::2] for c in own}
-        if len(self.cache) > CACHE_CHUNKS:  # what this block needs stays
-            self.cache = {c: x for c, x in self.cache.items() if c in seen}
+        if self.cache_bytes > CACHE_BYTES:  # what this block needs stays
+            self.forget(seen)
         self._learn(seen.difference(self.cache))
         get = self.cache.__getitem__
         out = []
@@ -229,19 +242,22 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True
 
     def run(batches):
         bpe = _loaded(held.value)
-        for b in batches:
-            for first, texts in blocks(b.column("text")):
-                ids = bpe.encode_block(texts)
-                cols = [b.column("doc_id").slice(first, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64())]
-                if with_ids:
-                    offsets = pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32())
-                    cols.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))))
-                if with_digests:
-                    cols.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
-                    cols.append(pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()))
-                yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+        try:
+            for b in batches:
+                for first, texts in blocks(b.column("text")):
+                    ids = bpe.encode_block(texts)
+                    cols = [b.column("doc_id").slice(first, len(texts)), pa.array([len(x) // 4 for x in ids], pa.int64())]
+                    if with_ids:
+                        offsets = pa.array(np.cumsum([0, *(len(x) // 4 for x in ids)]), pa.int32())
+                        cols.append(pa.ListArray.from_arrays(offsets, pa.array(np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32))))
+                    if with_digests:
+                        cols.append(pa.array([hashlib.sha256(x).hexdigest() for x in ids], pa.string()))
+                        cols.append(pa.array([hashlib.sha256(bpe.decode(x).encode()).hexdigest() for x in ids], pa.string()))
+                    yield pa.RecordBatch.from_arrays(cols, names=[x.split()[0] for x in schema.split(", ")])
+        finally:
+            bpe.forget()
+
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -255,7 +271,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             texts = [bpe.decode(np.asarray(x.as_py() or [], dtype="<u4").tobytes()) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return bounded(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, text string")
 
 
 def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

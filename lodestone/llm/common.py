@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of rows that a Python worker is sent at once (a longer row comes alone), where the session doesn't say.
+BATCH_BYTES = "8m"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -43,6 +45,15 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(rows: DataFrame) -> DataFrame:
+    """rows as they are; what Python workers of its session hold at once is bounded by bytes from
+    here on, so that 10,000 long texts don't meet in one batch."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, BATCH_BYTES)
+    return rows
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-cases A-Z and nothing else; null becomes empty."""
     return F.translate(F.coalesce(text, F.lit("")), UPPER, LOWER)

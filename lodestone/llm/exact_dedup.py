@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse_filter
-from .common import ascii_lower, fold_of, keep_rows, materialize, table
+from .common import ascii_lower, bounded, fold_of, keep_rows, materialize, table
 
 #: Digests of one bucket, for which one task builds or probes a filter.
 BUCKET_KEYS = 200_000
@@ -43,7 +43,7 @@ def digests(docs: DataFrame, digest=sha256) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(out, pa.binary())], ["doc_id", "row_key", "digest"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    return rows.mapInArrow(run, "doc_id long, row_key long, digest binary")
+    return bounded(rows).mapInArrow(run, "doc_id long, row_key long, digest binary")
 
 
 def _with_bucket(groups: DataFrame, buckets: int) -> DataFrame:
