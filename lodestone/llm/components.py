@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import discard, materialize
 
 
 def connected_components(edges: DataFrame) -> DataFrame:
@@ -30,12 +30,16 @@ def connected_components(edges: DataFrame) -> DataFrame:
         moved = True
         while moved:  # a parent's own parent is at most as large
             up = parent.select(F.col("node").alias("parent"), F.col("parent").alias("grand"))
-            jumped = materialize(parent.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") < F.col("parent")).alias("moved")), "cc-parents")
-            parent, moved = jumped.select("node", "parent"), not jumped.where("moved").isEmpty()
+            before, jumped = parent, materialize(parent.join(up, "parent").select("node", F.col("grand").alias("parent"), (F.col("grand") < F.col("parent")).alias("moved")), "cc-parents")
+            discard(before)
+            parent, moved = jumped, not jumped.where("moved").isEmpty()
+        parent = parent.select("node", "parent")
         steps.append(parent)
         pa, pb = parent.select(F.col("node").alias("a"), F.col("parent").alias("ra")), parent.select(F.col("node").alias("b"), F.col("parent").alias("rb"))
+        last = cur
         cur = cur.join(pa, "a").join(pb, "b").where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct()
         cur = materialize(cur, "cc-edges")
+        discard(last)
     if not steps:
         return cur.select(F.col("a").alias("node"), F.col("b").alias("root"))
     out = steps[-1].select("node", F.col("parent").alias("root"))
