@@ -3,18 +3,25 @@
 Cosine >= THRESHOLD between unit vectors is a distance of at most eps = sqrt(2 - 2 * THRESHOLD).
 Unit vectors are projected on leading principal directions (orthonormal, so projecting never
 increases a distance; they are fitted on SAMPLE vectors, which affects speed, never the result),
-laid on a grid of width eps and sorted by label and cell, in epsilon grid order, across the
-cluster. The sorted sequence is cut into intervals of at most INTERVAL vectors with their bounds in
-the projection. Intervals of a label that may hold near vectors are paired by an equi-join on the
-first grid coordinate and a test of their bounds; a pair is joined recursively: halves whose bounds
-are over eps apart are skipped, leaves are compared in double precision on the whole vectors.
+laid on a grid of width eps and sorted by label and cell on the first ORDER of them, in epsilon grid
+order, across the cluster. The sorted sequence is cut into intervals of at most INTERVAL vectors with
+their bounds in the projection; the vectors go to files in the shared folder, FILE intervals in each.
 
-Equal vectors of a label are one node with a weight. A pair of intervals returns a count for each
-node and the links that connect its nodes, never the pairs.
+The join is recursive over the sequence: FAN consecutive intervals of a label make a run, FAN runs a
+larger run, up to one for the whole label. From the pair of that run with itself, pairs are replaced by
+the pairs of their parts, and those whose bounds are over eps apart are dropped with all that is in
+them, level by level, until pairs of intervals are left. A pair of intervals is joined recursively in
+the same way by halves; leaves are compared in double precision on the whole vectors, which workers
+map from the files, so no vector is shuffled for the join.
+
+Equal vectors of a label are one node with a weight; a node is known outside by two 64-bit hashes of its
+vector (a clash among n vectors has a chance of about n^2 / 2^129). A pair of intervals returns a count for
+each node and the links that connect its nodes, never the pairs.
 
 Defined cases: vectors that are null, empty, zero or hold nulls or non-finite components, and null
 labels, link with nothing and are their own component; vectors of different lengths never link;
-repeated rows are vectors of their own with n_links between them; an empty table gives no rows.
+repeated rows are vectors of their own with n_links between them; null vec_ids take part, but are never a
+component_id unless the component has no other; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -22,14 +29,16 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, table
+from .common import Opened, bounded, discard, fresh_path, map_shared, materialize, table, write_shared
 from .components import connected_components
 from .simhash_dedup import Sets, forest
 
-THRESHOLD, DIMENSIONS, INTERVAL, LEAF, SAMPLE = 0.98, 6, 1024, 128, 2000
+THRESHOLD, DIMENSIONS, ORDER, INTERVAL, LEAF, SAMPLE = 0.98, 16, 6, 1024, 128, 2000
+#: Intervals in a file, parts of a run, and files that a task maps at a time.
+FILE, FAN, OPEN_FILES = 32, 16, 64
 
 
 def basis(sample: list[list[float]], size: int, k: int = DIMENSIONS) -> np.ndarray:
@@ -91,63 +100,99 @@ class Joiner:
             self.links.append((x, y))
 
 
-def intervals(nodes: DataFrame, directions: dict[int, np.ndarray], threshold: float) -> DataFrame:
-    """nodes(label, embedding, weight, first) -> intervals in epsilon grid order: block, label, size,
-    lo, hi (bounds of the projection), vectors, weights, firsts (packed)."""
-    eps, dims = float(np.sqrt(2 - 2 * threshold)), DIMENSIONS
+def intervals(nodes: DataFrame, directions: dict[int, np.ndarray], threshold: float, root: str) -> DataFrame:
+    """nodes(label, size, embedding, weight, first, h1, h2) -> intervals in epsilon grid order: part,
+    nth (place in the sequence), label, size, lo, hi (bounds of the projection), n, and the nodes' weight,
+    first, h1, h2; their vectors and weights are in the file root/part-(nth / FILE)."""
+    eps = float(np.sqrt(2 - 2 * threshold))
+
+    def projected(v: np.ndarray) -> np.ndarray:
+        u = v.astype(np.float64)
+        return (u / np.sqrt((u * u).sum(axis=1, keepdims=True))) @ directions.get(v.shape[1], np.eye(v.shape[1])[:, :DIMENSIONS])
 
     def cells(batches):
         for b in batches:
-            out = []
-            for v in b.column("embedding"):
-                v = np.array(v.as_py(), dtype=np.float64)
-                p = (v / np.sqrt((v * v).sum())) @ directions.get(len(v), np.eye(len(v))[:, :dims])
-                out.append([int(c) for c in np.floor(p / eps)] + [0] * (dims - len(p)))
-            yield b.append_column("cell", pa.array(out, pa.list_(pa.int32())))
+            sizes, data = b.column("size").to_numpy(), b.column("embedding")
+            cell = np.zeros((len(sizes), ORDER), dtype=np.int32)
+            for size in np.unique(sizes):
+                own = np.flatnonzero(sizes == size)
+                x = np.floor(projected(data.take(pa.array(own)).flatten().to_numpy().reshape(-1, size))[:, :ORDER] / eps)
+                cell[own, : x.shape[1]] = x
+            yield b.append_column("cell", pa.FixedSizeListArray.from_arrays(pa.array(cell.ravel()), ORDER).cast(pa.list_(pa.int32())))
 
     def cut(batches):
-        base, count = TaskContext.get().partitionId() << 32, 0
-        held, of = [], None
+        part, count, held, of, file = TaskContext.get().partitionId(), 0, [], None, []
 
         def block():
             nonlocal count
             v = np.array([x[0] for x in held], dtype=np.float32)
-            u = v.astype(np.float64)
-            p = (u / np.sqrt((u * u).sum(axis=1, keepdims=True))) @ directions.get(v.shape[1], np.eye(v.shape[1])[:, :dims])
-            row = {
-                "block": base + count, "label": of[0], "size": of[1], "lo": p.min(axis=0).tolist(), "hi": p.max(axis=0).tolist(),
-                "vectors": v.tobytes(), "weights": np.array([x[1] for x in held], dtype=np.int64).tobytes(),
-            }
+            w, first, h1, h2 = ([x[k] for x in held] for k in (1, 2, 3, 4))
+            p = projected(v)
+            file.extend([v.tobytes(), np.array(w, dtype="<i8").tobytes()])
+            row = {"part": part, "nth": count, "label": of[0], "size": of[1], "lo": p.min(axis=0).tolist(), "hi": p.max(axis=0).tolist(), "n": len(held), "offset": sum(map(len, file[:-2])), "weight": w, "first": first, "h1": h1, "h2": h2}
             count += 1
+            if count % FILE == 0:
+                save(count // FILE - 1)
             return pa.RecordBatch.from_pylist([row], schema=schema)
 
-        schema = pa.schema([("block", pa.int64()), ("label", pa.int64()), ("size", pa.int32()), ("lo", pa.list_(pa.float64())), ("hi", pa.list_(pa.float64())), ("vectors", pa.binary()), ("weights", pa.binary())])
+        def save(number: int) -> None:
+            write_shared(f"{root}/{part}-{number}", *file)
+            file.clear()
+
+        longs, doubles = pa.list_(pa.int64()), pa.list_(pa.float64())
+        schema = pa.schema([("part", pa.int32()), ("nth", pa.int64()), ("label", pa.int64()), ("size", pa.int32()), ("lo", doubles), ("hi", doubles), ("n", pa.int32()), ("offset", pa.int64()), ("weight", longs), ("first", longs), ("h1", longs), ("h2", longs)])
         for b in batches:
-            for label, size, v, w in zip(*(b.column(c).to_pylist() for c in ("label", "size", "embedding", "weight"))):
+            for label, size, *node in zip(*(b.column(c).to_pylist() for c in ("label", "size", "embedding", "weight", "first", "h1", "h2"))):
                 if held and ((label, size) != of or len(held) == INTERVAL):
                     yield block()
                     held = []
                 of = (label, size)
-                held.append((v, w))
+                held.append(node)
         if held:
             yield block()
-
-    x = nodes.select("label", "size", "embedding", "weight").mapInArrow(cells, "label long, size int, embedding array<float>, weight long, cell array<int>")
-    order = ["label", "size", *[F.col("cell")[k] for k in range(dims)]]
-    x = x.repartitionByRange(*order).sortWithinPartitions(*order, "embedding")
-    return x.mapInArrow(cut, "block long, label long, size int, lo array<double>, hi array<double>, vectors binary, weights binary")
-
-
-def pairs_of(blocks: DataFrame, eps: float) -> DataFrame:
-    """(a, b), a <= b: intervals of one label whose bounds are within eps."""
-    s = blocks.select("block", "label", "size", "lo", "hi")
-    left = s.select("label", "size", F.col("block").alias("a"), F.col("lo").alias("lo_a"), F.col("hi").alias("hi_a"), F.explode(F.sequence(F.floor(F.col("lo")[0] / eps), F.floor(F.col("hi")[0] / eps))).alias("g"))
-    right = s.select("label", "size", F.col("block").alias("b"), F.col("lo").alias("lo_b"), F.col("hi").alias("hi_b"), F.explode(F.sequence(F.floor(F.col("lo")[0] / eps) - 1, F.floor(F.col("hi")[0] / eps) + 1)).alias("g"))
-    gaps = F.zip_with(F.zip_with("lo_a", "hi_b", lambda x, y: x - y), F.zip_with("lo_b", "hi_a", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
-    apart = F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x * x)
-    near = left.join(right, ["label", "size", "g"]).where((F.col("a") <= F.col("b")) & (apart <= eps * eps * (1 + 1e-8) + 1e-15))
-    # an interval pair that shares several coordinates is found once for each
-    return near.select("a", "b").distinct()
+        if file:
+            save((count - 1) // FILE)
+
+    names = ["label", "size", "embedding", "weight", "first", "h1", "h2"]
+    kinds = "label long, size int, embedding array<float>, weight long, first long, h1 long, h2 long"
+    x = bounded(nodes.select(*names)).mapInArrow(cells, kinds + ", cell array<int>")
+    order = ["label", "size", *[F.col("cell")[k] for k in range(ORDER)]]
+    x = x.repartitionByRange(*order).sortWithinPartitions(*order, "h1", "h2")
+    return x.mapInArrow(cut, "part int, nth long, label long, size int, lo array<double>, hi array<double>, n int, offset long, weight array<long>, first array<long>, h1 array<long>, h2 array<long>")
+
+
+def numbered(blocks: DataFrame) -> DataFrame:
+    """Adds block: the place of an interval in the whole sequence."""
+    own = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = blocks.groupBy("part").agg(F.count("*").alias("k"))  # a row for each partition
+    parts = parts.select("part", F.coalesce(F.sum("k").over(own), F.lit(0)).alias("before"))
+    return blocks.join(F.broadcast(parts), "part").withColumn("block", F.col("before") + F.col("nth"))
+
+
+def _near(a: str, b: str, eps: float) -> Column:
+    gaps = F.zip_with(F.zip_with(f"lo_{a}", f"hi_{b}", lambda x, y: x - y), F.zip_with(f"lo_{b}", f"hi_{a}", lambda x, y: x - y), lambda x, y: F.greatest(x, y, F.lit(0.0)))
+    return F.aggregate(gaps, F.lit(0.0), lambda acc, x: acc + x * x) <= eps * eps * (1 + 1e-8) + 1e-15
+
+
+def pairs_of(blocks: DataFrame, eps: float, fan: int = FAN) -> DataFrame:
+    """blocks(block, label, size, lo, hi) -> (a, b), a <= b: intervals of one label whose bounds are within
+    eps, by recursion over the runs of the sequence. A pair is replaced by fan^2 pairs at most."""
+    levels = [blocks.select("label", "size", F.col("block").alias("id"), "lo", "hi")]
+    most = blocks.agg(F.max("block")).first()[0]
+    while most is not None and most >= fan ** (len(levels) - 1):
+        bounds = lambda c, f: F.transform(F.sequence(F.lit(0), F.size(F.first(c)) - 1), lambda i: f(F.collect_list(c), i))
+        low = lambda c, i: F.array_min(F.transform(c, lambda x: x[i]))
+        high = lambda c, i: F.array_max(F.transform(c, lambda x: x[i]))
+        up = levels[-1].groupBy("label", "size", F.floor(F.col("id") / fan).alias("id")).agg(bounds("lo", low).alias("lo"), bounds("hi", high).alias("hi"))  # fan rows at most
+        levels.append(materialize(up, "ego-runs"))
+    pairs = levels[-1].select("label", "size", F.col("id").alias("a"), F.col("id").alias("b"))
+    for level in reversed(levels[:-1]):
+        parts = level.withColumn("up", F.floor(F.col("id") / fan))
+        side = lambda c: parts.select("label", "size", F.col("up").alias(c), F.col("id").alias(f"id_{c}"), F.col("lo").alias(f"lo_{c}"), F.col("hi").alias(f"hi_{c}"))
+        both = pairs.join(side("a"), ["label", "size", "a"]).join(side("b"), ["label", "size", "b"])
+        both = both.where((F.col("id_a") <= F.col("id_b")) & _near("a", "b", eps))
+        pairs = materialize(both.select("label", "size", F.col("id_a").alias("a"), F.col("id_b").alias("b")), "ego-pairs")
+    return pairs.select("a", "b")
 
 
 def classify(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -155,54 +200,58 @@ def classify(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding"), F.col("label").cast("long").alias("label"))
     bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) | ~F.exists("embedding", lambda x: x != 0)
-    rows = rows.withColumn("ok", F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad, F.lit(False)))
-    good = rows.where("ok")
-    nodes = materialize(good.groupBy("label", "embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"), F.any_value(F.size("embedding")).alias("size")), "ego-nodes")
-    sample = [r["embedding"] for r in nodes.orderBy(F.xxhash64("embedding", "label")).limit(SAMPLE).select("embedding").collect()]
+    ok = F.coalesce(F.col("label").isNotNull() & (F.size("embedding") > 0) & ~bad, F.lit(False))
+    rows = rows.select("vec_id", "label", ok.alias("ok"), F.xxhash64(F.lit(1), "embedding").alias("h1"), F.xxhash64(F.lit(2), "embedding").alias("h2"), "embedding")
+    known = rows.where("ok").groupBy("label", "h1", "h2", "embedding").agg(F.count("*").alias("weight"), F.min("vec_id").alias("first"))
+    nodes = materialize(known.withColumn("size", F.size("embedding")), "ego-nodes")
+    sample = [r["embedding"] for r in nodes.orderBy("h1", "label").limit(SAMPLE).select("embedding").collect()]
     directions = {n: basis(sample, n) for n in {len(v) for v in sample}}
-    blocks = materialize(intervals(nodes, directions, threshold), "ego-intervals")
+    root = fresh_path(spark, "ego-vectors")
+    cuts = materialize(intervals(nodes, directions, threshold, root), "ego-cuts")
+    blocks = materialize(numbered(cuts), "ego-intervals")
+    discard(nodes, cuts)
     pairs = pairs_of(blocks, float(np.sqrt(2 - 2 * threshold)) * (1 + 1e-9))
-    side = lambda c: blocks.select(F.col("block").alias(c), F.col("vectors").alias(f"v{c}"), F.col("weights").alias(f"w{c}"), *([F.col("size")] if c == "a" else []))
-    work = pairs.join(side("a"), "a").join(side("b"), "b")
-
-    def join(t: pa.Table) -> pa.Table:
-        nodes_, others, counts = [], [], []
-        for r in t.to_pylist():
-            va, vb = (np.frombuffer(r[k], dtype=np.float32).reshape(-1, r["size"]) for k in ("va", "vb"))
-            wa, wb = (np.frombuffer(r[k], dtype=np.int64) for k in ("wa", "wb"))
-            d = directions.get(r["size"])
-            j = Joiner(va, vb, wa, wb, np.eye(r["size"])[:, :DIMENSIONS] if d is None else d, threshold, r["a"] == r["b"])
-            j.run(0, len(va), 0, len(vb))
-            for block, c in ((r["a"], j.ca), (r["b"], j.cb)):
-                own = np.flatnonzero(c)
-                nodes_ += (block * INTERVAL + own).tolist()
-                others += [None] * len(own)
-                counts += c[own].tolist()
-            if j.links:
-                x, y = (np.concatenate(z) for z in zip(*j.links))
-                for p, q in Sets().join(*forest(r["a"] * INTERVAL + x, r["b"] * INTERVAL + y)):
-                    nodes_.append(p)
-                    others.append(q)
-                    counts.append(None)
-        return pa.table({"node": pa.array(nodes_, pa.int64()), "other": pa.array(others, pa.int64()), "n": pa.array(counts, pa.int64())})
-
-    found = materialize(work.groupBy("a", "b").applyInArrow(join, "node long, other long, n long"), "ego-found")
-    counts = found.where("other is null").groupBy("node").agg(F.sum("n").alias("n"))
-    roots = connected_components(found.where("other is not null").select(F.col("node").alias("a"), F.col("other").alias("b")))
-
-    def unpack(batches):
-        for b in batches:
-            for block, label, size, data in zip(*(b.column(c).to_pylist() for c in ("block", "label", "size", "vectors"))):
-                v = np.frombuffer(data, dtype=np.float32)
-                n = len(v) // size
-                yield pa.RecordBatch.from_arrays([pa.array(block * INTERVAL + np.arange(n)), pa.array(np.full(n, label)), pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * size, pa.int32()), pa.array(v))], ["node", "label", "embedding"])
-
-    placed = blocks.select("block", "label", "size", "vectors").mapInArrow(unpack, "node long, label long, embedding array<float>")
-    known = nodes.join(placed, ["label", "embedding"]).join(counts, "node", "left").join(roots, "node", "left")
-    known = materialize(known.select("label", "embedding", "first", F.coalesce("root", "node").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "ego-known")
+    side = lambda c: blocks.select(F.col("block").alias(c), F.concat("part", F.lit("-"), F.floor(F.col("nth") / FILE)).alias(f"file_{c}"), F.col("offset").alias(f"at_{c}"), F.col("n").alias(f"n_{c}"), *([F.col("size")] if c == "a" else []))
+    work = pairs.join(side("a"), "a").join(side("b"), "b").repartitionByRange("a", "b").sortWithinPartitions("a", "b")
+
+    def join(batches):
+        files = Opened(root, map_shared, OPEN_FILES)
+
+        def part(r: dict, c: str) -> tuple[np.ndarray, np.ndarray]:
+            raw, n = files(r[f"file_{c}"]), r[f"n_{c}"]
+            at, upto = r[f"at_{c}"], r[f"at_{c}"] + 4 * n * r["size"]
+            return raw[at:upto].view("<f4").reshape(n, r["size"]), raw[upto : upto + 8 * n].view("<i8")
+
+        for t in batches:
+            nodes_, others, counts = [], [], []
+            for r in t.to_pylist():
+                (va, wa), (vb, wb) = part(r, "a"), part(r, "b")
+                d = directions.get(r["size"])
+                j = Joiner(va, vb, wa, wb, np.eye(r["size"])[:, :DIMENSIONS] if d is None else d, threshold, r["a"] == r["b"])
+                j.run(0, len(va), 0, len(vb))
+                for block, c in ((r["a"], j.ca), (r["b"], j.cb)):
+                    own = np.flatnonzero(c)
+                    nodes_.append(block * INTERVAL + own)
+                    others.append(np.full(len(own), -1))
+                    counts.append(c[own])
+                if j.links:
+                    x, y = (np.concatenate(z) for z in zip(*j.links))
+                    links = np.array(Sets().join(*forest(r["a"] * INTERVAL + x, r["b"] * INTERVAL + y)), dtype=np.int64)
+                    nodes_.append(links[:, 0])
+                    others.append(links[:, 1])
+                    counts.append(np.zeros(len(links), dtype=np.int64))
+            if nodes_:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (nodes_, others, counts)], ["node", "other", "n"])
+
+    found = materialize(work.mapInArrow(join, "node long, other long, n long"), "ego-found")
+    counts = found.where("other < 0").groupBy("node").agg(F.sum("n").alias("n"))
+    roots = connected_components(found.where("other >= 0").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    placed = blocks.select("block", "label", F.posexplode(F.arrays_zip("weight", "first", "h1", "h2")).alias("i", "x")).select((F.col("block") * INTERVAL + F.col("i")).alias("node"), "label", "x.*")
+    known = placed.join(counts, "node", "left").join(roots, "node", "left")
+    known = materialize(known.select("label", "h1", "h2", "first", F.coalesce("root", "node").alias("root"), (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links")), "ego-known")
     least = known.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = known.join(least, "root").select(F.col("label").alias("l"), F.col("embedding").alias("e"), "n_links", "component_id", F.lit(True).alias("k"))
-    out = rows.join(of, F.col("ok") & (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
+    of = known.join(least, "root").select(F.col("label").alias("l"), F.col("h1").alias("x1"), F.col("h2").alias("x2"), "n_links", "component_id")
+    out = rows.select("vec_id", "label", "ok", "h1", "h2").join(of, F.col("ok") & (F.col("label") == F.col("l")) & (F.col("h1") == F.col("x1")) & (F.col("h2") == F.col("x2")), "left")
     component = F.when(F.col("ok"), F.col("component_id")).otherwise(F.col("vec_id"))
     return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
 
