@@ -10,13 +10,17 @@ is indexed by its bits in each partition and probes the larger keys within t_i o
 meets is verified on all 64 bits.
 
 A task keeps the links that join two of its sets and drops the others, so a dense group of n
-fingerprints yields about n links, not their square; a key with more than HOT indexed fingerprints
-is dealt into blocks over several tasks, and candidates are compared, never emitted. Equal
-fingerprints are one node whatever their number.
+fingerprints yields about n links, not their square, and candidates are compared, never emitted. A
+key with more than HOT indexed fingerprints is divided again by the same principle, DIVISIONS times at
+most: the bits that it has not fixed yet are dealt into MAX_DISTANCE + 1 parts, of which two near
+fingerprints agree on one at least, and its rows go to the keys of these parts. What is crowded even
+then holds mostly near fingerprints; it is dealt into blocks of HOT over several tasks, each of which
+sees all of its rows. Equal fingerprints are one node whatever their number.
 
 Defined cases: a null or empty text has no words and fingerprint zero, which links like any other;
 repeated rows share a fingerprint; null doc_ids take part but are never a component_id unless the
-component has no other; an empty table gives no rows.
+component has no other; very long texts are read whole; other columns are ignored, and pass through
+drop_near_copies() whatever their names; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,7 +37,7 @@ from .common import bounded, keep_rows, materialize, table
 from .components import connected_components
 
 SHINGLE, SEED, MAX_DISTANCE, BITS = 4, 42, 4, 64
-SAMPLE, HOT, PAIRS = 2048, 4096, 1 << 20
+SAMPLE, HOT, DIVISIONS, PAIRS = 2048, 4096, 2, 1 << 20
 #: Seconds that a signature row and a candidate take, by order of magnitude.
 SIGNATURE_S, CANDIDATE_S = 1.5e-6, 2e-8
 
@@ -140,28 +144,50 @@ def _signature(part: int, key: np.ndarray) -> np.ndarray:
 
 
 def signatures(distinct: DataFrame, parts: list[tuple[list[int], int]]) -> DataFrame:
-    """fp -> (sig, probe, fp): one indexed row (probe false) for each partition, and a probing row
-    for every larger key within the partition's threshold. Signatures are hashes of partition and
-    key; a clash only adds candidates."""
+    """fp -> (sig, probe, fp, free): one indexed row (probe false) for each partition, and a probing
+    row for every larger key within the partition's threshold. Signatures are hashes of partition and
+    key; a clash only adds candidates. free: the bits beside the partition."""
 
     def run(batches):
         for b in batches:
             fp = b.column("fp").to_numpy().view(np.uint64)
             for k, (own, t) in enumerate(parts):
-                key = fp & np.uint64(sum(1 << x for x in own))
-                yield _rows(_signature(k, key), fp, False)
+                mask = sum(1 << x for x in own)
+                key = fp & np.uint64(mask)
+                yield _rows(_signature(k, key), fp, False, ~mask & (1 << BITS) - 1)
                 for j in range(1, t + 1):
                     for flips in combinations(own, j):
                         other = key ^ np.uint64(sum(1 << x for x in flips))
                         up = other > key
                         if up.any():
-                            yield _rows(_signature(k, other[up]), fp[up], True)
+                            yield _rows(_signature(k, other[up]), fp[up], True, ~mask & (1 << BITS) - 1)
 
-    return distinct.select("fp").mapInArrow(run, "sig long, probe boolean, fp long")
+    return distinct.select("fp").mapInArrow(run, "sig long, probe boolean, fp long, free long")
 
 
-def _rows(sig: np.ndarray, fp: np.ndarray, probe: bool) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), probe)), pa.array(fp.view(np.int64))], ["sig", "probe", "fp"])
+def divided(rows: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
+    """rows(sig, probe, fp, free) -> the same rows under the keys of distance + 1 parts of their free bits."""
+
+    def run(batches):
+        for b in batches:
+            sig, probe, fp, free = (b.column(c).to_numpy(zero_copy_only=False) for c in ("sig", "probe", "fp", "free"))
+            sig, fp, free = sig.view(np.uint64), fp.view(np.uint64), free.view(np.uint64)
+            for mask in np.unique(free):
+                own, bits = free == mask, [x for x in range(BITS) if int(mask) >> x & 1]
+                for k in range(distance + 1):
+                    part = sum(1 << x for x in bits[k :: distance + 1])
+                    for p in (False, True):
+                        use = own & (probe == p)
+                        if use.any():
+                            with np.errstate(over="ignore"):
+                                yield _rows(_signature(k, (fp[use] & np.uint64(part)) ^ sig[use] * np.uint64(0xFF51AFD7ED558CCD)), fp[use], p, int(mask) & ~part)
+
+    return rows.select("sig", "probe", "fp", "free").mapInArrow(run, "sig long, probe boolean, fp long, free long")
+
+
+def _rows(sig: np.ndarray, fp: np.ndarray, probe: bool, free: int) -> pa.RecordBatch:
+    bits = np.full(len(sig), free, dtype=np.uint64).view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(sig.view(np.int64)), pa.array(np.full(len(sig), probe)), pa.array(fp.view(np.int64)), pa.array(bits)], ["sig", "probe", "fp", "free"])
 
 
 def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -206,20 +232,20 @@ class Sets:
 
 
 def verify(rows: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
-    """rows(sig, block, probe, fp), partitioned and sorted by sig, block, probe -> links (a, b) that
-    connect all fingerprints within distance that share a sig and block, one of them indexed there."""
+    """rows(sig, probe, fp), partitioned and sorted by sig, probe -> links (a, b) that connect all
+    fingerprints within distance that share a sig, one of them indexed there."""
 
     def run(batches):
         sets = Sets()
-        held = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64))
+        held = (np.zeros(0, np.int64), np.zeros(0, bool), np.zeros(0, np.uint64))
         for b in batches:
-            new = (b.column("sig").to_numpy(), b.column("block").to_numpy(), b.column("probe").to_numpy(zero_copy_only=False), b.column("fp").to_numpy().view(np.uint64))
+            new = (b.column("sig").to_numpy(), b.column("probe").to_numpy(zero_copy_only=False), b.column("fp").to_numpy().view(np.uint64))
             old = len(held[0])
-            sig, block, probe, fp = (np.concatenate(x) for x in zip(held, new))
+            sig, probe, fp = (np.concatenate(x) for x in zip(held, new))
             n = len(sig)
             if n == 0:
                 continue
-            begins = np.concatenate([[True], (sig[1:] != sig[:-1]) | (block[1:] != block[:-1])])
+            begins = np.concatenate([[True], sig[1:] != sig[:-1]])
             group = np.cumsum(begins) - 1
             start = np.flatnonzero(begins)
             indexed = np.bincount(group, weights=~probe).astype(np.int64)
@@ -243,25 +269,32 @@ def verify(rows: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(x[:, 0].copy().view(np.int64)), pa.array(x[:, 1].copy().view(np.int64))], ["a", "b"])
                 at = upto
             keep = (group == group[-1]) & ~probe  # the last group may go on
-            held = (sig[keep], block[keep], probe[keep], fp[keep])
+            held = (sig[keep], probe[keep], fp[keep])
 
-    return rows.select("sig", "block", "probe", "fp").mapInArrow(run, "a long, b long")
+    return rows.select("sig", "probe", "fp").mapInArrow(run, "a long, b long")
 
 
 def link(distinct: DataFrame, distance: int = MAX_DISTANCE, hot: int = HOT) -> DataFrame:
     """Links (a, b) with the components of all distinct fingerprints (fp) within distance."""
     n = distinct.count()
     sample = np.array([r["fp"] for r in distinct.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], dtype=np.int64).view(np.uint64)
-    rows = signatures(distinct, plan(sample, n, distance))
-    rows = materialize(rows, "simhash-signatures")
-    crowded = rows.where(~F.col("probe")).groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-    crowded = materialize(crowded.select("sig", F.ceil(F.col("n") / hot).cast("long").alias("blocks")), "simhash-crowded")
-    even = rows.join(crowded, "sig", "left_anti").select("sig", F.lit(0).cast("long").alias("block"), "probe", "fp")
-    if not crowded.isEmpty():
-        own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-        dealt = rows.join(crowded, "sig").select("sig", own.alias("own"), "probe", "fp", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"))
-        even = even.unionByName(dealt.select("sig", "block", (F.col("probe") | (F.col("own") != F.col("block"))).alias("probe"), "fp"))
-    return verify(even.repartition("sig", "block").sortWithinPartitions("sig", "block", "probe"), distance)
+    rows, parts = materialize(signatures(distinct, plan(sample, n, distance)), "simhash-signatures"), []
+    for level in range(DIVISIONS + 1):
+        crowded = rows.where(~F.col("probe")).groupBy("sig").agg(F.count("*").alias("n")).where(F.col("n") > hot)
+        crowded = materialize(crowded.select("sig", F.ceil(F.col("n") / hot).cast("long").alias("blocks")), "simhash-crowded")
+        if crowded.isEmpty():
+            parts.append(rows)
+            break
+        parts.append(rows.join(crowded, "sig", "left_anti"))
+        if level < DIVISIONS:
+            rows = materialize(divided(rows.join(crowded, "sig", "left_semi"), distance), "simhash-signatures")
+        else:
+            dealt = rows.join(crowded, "sig").withColumn("own", F.pmod(F.xxhash64("fp"), F.col("blocks"))).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+            parts.append(dealt.select(F.xxhash64("sig", "block").alias("sig"), (F.col("probe") | (F.col("own") != F.col("block"))).alias("probe"), "fp"))
+    even = parts[0].select("sig", "probe", "fp")
+    for x in parts[1:]:
+        even = even.unionByName(x.select("sig", "probe", "fp"))
+    return verify(even.repartition("sig").sortWithinPartitions("sig", "probe"), distance)
 
 
 def classify(docs: DataFrame, distance: int = MAX_DISTANCE) -> DataFrame:
