@@ -10,12 +10,16 @@ of the winner's margins; 1 where there is nothing to choose from.
 Training reads at most MAX_PER_LANGUAGE labelled documents of each language (whole texts, chosen by
 a hash of doc_id and text against a share of the language's count, so the bound holds in
 expectation and is cut exactly on the driver); prediction reads every whole text. Features are
-computed on the executors; the driver fits MAX_PER_LANGUAGE x languages vectors of DIMENSIONS.
+computed on the executors; the driver fits MAX_PER_LANGUAGE x languages vectors of DIMENSIONS. Of more
+than MAX_LANGUAGES values of lang the most frequent ones are learned (of equally frequent ones the
+first), as stray labels are no languages; texts of the others are predicted like all texts.
 
 Defined cases: null texts and texts without a letter are `und` with score 0; a null lang is not
 learned from; with no labelled document everything is `und`, with one language all texts with a
-letter are that language; a lang that no family lists is a family of its own; repeated rows give
-repeated rows; an empty table gives no rows.
+letter are that language; a lang that no family lists is a family of its own; repeated rows count and
+are predicted each; equal scores go to the last language in order; null doc_ids are predicted and stay
+null; texts of any length are read whole; other columns pass through keep_known() whatever their names;
+an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,9 +32,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, fold_of, table
+from .common import bounded, by_position, fold_of, table
 
-DIMENSIONS, MAX_PER_LANGUAGE, UNKNOWN, MIN_SCORE = 1 << 12, 400, "und", 0.2
+DIMENSIONS, MAX_PER_LANGUAGE, MAX_LANGUAGES, UNKNOWN, MIN_SCORE = 1 << 12, 400, 100, "und", 0.2
 FAMILIES = {
     "germanic": ["en", "de", "nl", "sv", "da", "no", "nb", "nn", "is", "af"],
     "romance": ["fr", "es", "it", "pt", "ro", "ca", "gl", "oc"],
@@ -158,15 +162,15 @@ class Model:
         return best, float(min(1.0, max(0.0, sure * (np.mean(wins[best][2]) if wins[best][2] else 1.0))))
 
 
-def fit(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE) -> Model:
+def fit(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE, languages: int = MAX_LANGUAGES) -> Model:
     """Learns from the rows of docs(doc_id, text, lang) with a lang and a letter."""
     known = docs.where("lang is not null and text is not null").select("lang", "text", F.xxhash64("doc_id", "text").alias("h"))
-    counts = {r["lang"]: r["n"] for r in docs.where("lang is not null and text is not null").groupBy("lang").agg(F.count("*").alias("n")).collect()}  # one row per language
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    counts = {r["lang"]: r["n"] for r in counts.collect()}
     if not counts:
         return Model(np.zeros((0, DIMENSIONS)), [])
-    share = F.lit(0.0)
-    for lang, n in counts.items():
-        share = F.when(F.col("lang") == lang, min(1.0, 1.5 * per_language / n)).otherwise(share)
+    shares = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 1.5 * per_language / n))])
+    share = F.coalesce(F.try_element_at(shares, F.col("lang")), F.lit(0.0))
     chosen = known.where(F.shiftrightunsigned("h", 11) / float(1 << 53) < share)
 
     def run(batches):
@@ -206,9 +210,8 @@ def training(docs: DataFrame) -> DataFrame:
 def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
     """The rows of docs whose language is predicted with at least min_score; others are rejected."""
     model = docs.sparkSession.sparkContext.broadcast(fit(training(docs)))
-    names = docs.columns
-    plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    text = f"c{[n.lower() for n in names].index('text')}"
+    plain, names, at = by_position(docs)
+    text = at["text"]
 
     def run(batches):
         m = model.value
