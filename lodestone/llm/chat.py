@@ -69,13 +69,14 @@ def parse(turn: str) -> tuple[str, str]:
 
 def turns_to_events(turns: DataFrame) -> DataFrame:
     """A finished conversation table (conv_id, turn, role, text) as a log: each row opens a message
-    and streams its text."""
+    and streams its text in two deltas."""
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_last(), "role", "text")
     t = turns.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     t = t.withColumn("position", F.row_number().over(order).cast("long"))
-    none = F.lit(None).cast("string")
-    both = F.array(F.struct((F.col("position") * 2).alias("seq"), F.lit("open").alias("event"), "position", F.col("role").alias("role"), none.alias("text")), F.struct((F.col("position") * 2 + 1).alias("seq"), F.lit("delta").alias("event"), "position", none.alias("role"), F.col("text").alias("text")))
-    return t.select("conv_id", F.explode(both).alias("e")).select("conv_id", "e.*")
+    none, half = F.lit(None).cast("string"), F.ceil(F.length("text") / 2).cast("int")
+    event = lambda k, name, role, text: F.struct((F.col("position") * 3 + k).alias("seq"), F.lit(name).alias("event"), "position", role.alias("role"), text.alias("text"))
+    log = F.array(event(0, "open", F.col("role"), none), event(1, "delta", none, F.substr("text", F.lit(1), half)), event(2, "delta", none, F.substr("text", half + 1)))
+    return t.select("conv_id", F.explode(log).alias("e")).select("conv_id", "e.*")
 
 
 def reconstruct(events: DataFrame) -> DataFrame:
