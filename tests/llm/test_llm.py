@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -301,3 +302,166 @@ def test_exact_stage(spark, texts):
     want = sorted(max(i for i, t in enumerate(texts) if (t or "").encode().lower() == k) for k in {(t or "").encode().lower() for t in texts})
     assert left.columns == docs.columns and sorted(r["doc_id"] for r in left.collect()) == want
     assert exact_dedup.classify(docs.where(F.lit(False))).count() == 0
+
+
+def test_simhash_divides_crowded_keys(spark):
+    """All share the bits of one partition; hot 3 divides again and again, and no link is lost."""
+    rng = random.Random(4)
+    own = sorted({rng.getrandbits(30) for _ in range(300)} | {1 << i for i in range(30)} | {0})
+    frame = spark.createDataFrame([(x,) for x in own], "fp long")
+    roots = {r["node"]: r["root"] for r in connected_components(simhash_dedup.link(materialize(frame, "t"), hot=3)).collect()}
+    want = union_find(len(own), [(i, j) for i in range(len(own)) for j in range(i) if (own[i] ^ own[j]).bit_count() <= 4])
+    assert [roots.get(x, x) for x in own] == [own[w] for w in want] and len(set(want)) > 5
+
+
+def test_license_texts(spark):
+    """The templates as published, far into a long text, wrapped, with null ids and repeated rows."""
+    mit = license_scan.TEMPLATES["mit-text"].upper().split()
+    wrapped = "\n * ".join(" ".join(mit[i : i + 9]) for i in range(0, len(mit), 9))
+    long = "lorem ipsum " * 20000 + wrapped + " dolor sit" * 20000
+    rows = [(1, long), (None, wrapped), (None, wrapped), (3, " ".join(mit[: len(mit) // 2])), (4, "see the license for the specific language")]
+    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"] or 0, r["labels"]) for r in got) == [(0, "mit-text"), (0, "mit-text"), (1, "mit-text"), (3, ""), (4, "")]
+    assert {r["n_words"] for r in got if r["doc_id"] == 1} == {80000 + len(mit)}
+
+
+def test_mixing_rates_are_the_optimum(spark):
+    """Rates against a plain bisection of the dual; every source ends within half of a short document."""
+    rnd = random.Random(12)
+    docs = make(spark, [" ".join(["w"] * rnd.choice([1, 2, 5, 40, 300])) for _ in range(400)] + ["w " * 9000, "w", "w"], lambda i: "abc"[min(2, i % 7)])
+    got = mixing.mix(docs.union(docs.where("doc_id < 5"))).collect()
+    for source in "abc":
+        own = [r for r in got if r["source"] == source]
+        target, sizes = own[0]["target"], [r["size"] for r in own]
+        lo, hi = -50.0, 50.0
+        for _ in range(200):
+            mid = (lo + hi) / 2
+            total = sum(s * min(3, math.exp(min(50, mid * s / 100))) for s in sizes)
+            lo, hi = (mid, hi) if total < target else (lo, mid)
+        if target < 3 * sum(sizes) * (1 - 1e-9):
+            assert [r["rate"] for r in own] == pytest.approx([min(3, math.exp(min(50, lo * s / 100))) for s in sizes], rel=1e-3)
+        assert abs(sum(r["copies"] * r["size"] for r in own) - target) <= 2
+        assert all(0 <= r["copies"] <= 3 for r in own)
+
+
+def test_mixing_does_not_hide_that_it_failed(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "STEPS", 1)
+    with pytest.raises(RuntimeError, match="not settled"):
+        mixing.mix(make(spark, ["w " * (1 + i % 50) for i in range(60)])).collect()
+
+
+def test_running_sums(spark):
+    rows = [(f"s{i:03d}", i) for i in range(300)] + [(None, 7)]
+    got = mixing.running(spark.createDataFrame(rows, "source string, n long"), [F.col("source").asc_nulls_last()], before=F.col("n")).collect()
+    assert {r["source"]: r["before"] for r in got} == {f"s{i:03d}": i * (i - 1) // 2 for i in range(300)} | {None: 299 * 150}
+
+
+def test_embeddings_edge_cases(spark, monkeypatch):
+    empty = embedding_dedup.classify(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))
+    assert empty.count() == 0 and empty.columns == ["vec_id", "n_links", "component_id", "kept"]
+    rows = [(None, [1.0, 0.0], 1), (5, [1.0, 0.0], 1), (4, [1.0, 0.01], 1), (9, None, 1)]
+    got = sorted((r["vec_id"] or -1, r["n_links"], r["component_id"], r["kept"]) for r in embedding_dedup.classify(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect())
+    assert got == [(-1, 2, 4, False), (4, 2, 4, True), (5, 2, 4, False), (9, 0, 9, True)]
+
+
+def test_pairs_of_intervals_miss_none(spark):
+    """The recursion over runs against all pairs."""
+    rng = np.random.default_rng(3)
+    lo = np.sort(rng.random((90, 2)), axis=0)
+    rows = [(i, i // 50, 2, x.tolist(), (x + 0.02).tolist()) for i, x in enumerate(lo)]
+    got = embedding_dedup.pairs_of(spark.createDataFrame(rows, "block long, label long, size int, lo array<double>, hi array<double>"), 0.05, fan=3)
+    gap = lambda a, b: math.dist([0, 0], [max(0, x - z, y - w) for x, w, y, z in zip(a[3], a[4], b[3], b[4])])
+    want = {(a[0], b[0]) for a in rows for b in rows if a[0] <= b[0] and a[1] == b[1] and gap(a, b) <= 0.05}
+    assert {tuple(r) for r in got.collect()} == want and len(want) > 90
+
+
+def test_language_model_is_wide_enough():
+    """Ids over 32 bits, counts over 32 bits, and files no wider than they need to be."""
+    meta = language_model.Meta("", 1, np.array([0, (1 << 33) - 5, (1 << 33) + 5]), 1, 1, 1)
+    word = np.array([3, 1 << 33, 1 << 33, meta.unknown, meta.begin, meta.begin])
+    second = np.array([1 << 33, 7, meta.end, 7, 1, meta.end])
+    assert [(s, i, j) for s, i, j in meta.shards(word)] == [(0, 0, 1), (1, 1, 3), (2, 4, 6)]
+    keys = meta.keys(1, word[1:3], second[1:3])
+    assert (keys >> np.uint64(40)).tolist() == [5, 5] and (keys & np.uint64((1 << 40) - 1)).tolist() == [7, meta.end]
+    for top, kind in ((255, "u1"), (256, "u2"), (1 << 31, "u4"), (1 << 33, "u8")):
+        assert language_model.narrow(np.array([0, top])).dtype == np.dtype(f"<{kind}") and language_model.narrow(np.array([0, top]))[1] == top
+    s, k, c = language_model.combined(np.array([1, 0, 1]), np.array([5, 9, 5], dtype=np.uint64), np.array([1 << 40, 1, 1]))
+    assert (s.tolist(), k.tolist(), c.tolist()) == ([0, 1], [9, 5], [1, (1 << 40) + 1])
+
+
+def test_language_model_repeated_rows(spark, texts):
+    docs = make(spark, texts[:12])
+    twice = docs.union(docs)
+    one = {r["doc_id"]: r for r in language_model.score(docs, language_model.train(twice)).collect()}
+    assert all(r["train_tokens"] == 2 * sum(len((t or "").encode().lower().split()) + 1 for t in texts[:12]) for r in one.values())
+    assert language_model.score(docs.limit(0), language_model.train(docs)).count() == 0
+    null = language_model.score(spark.createDataFrame([(None, None)], "doc_id long, text string"), language_model.train(docs)).first()
+    assert null["doc_id"] is None and null["n_tokens"] == 1
+
+
+def test_languages_are_bounded(spark):
+    rows = [(i, "abc def ghi", f"l{i % 30:02d}", "s", 1, "x", "y") for i in range(60)] + [(100 + i, "xyz uvw rst", "en", "s", 1, "x", "y") for i in range(40)]
+    docs = spark.createDataFrame(rows, COLUMNS)
+    model = language_id.fit(docs, languages=3)
+    assert model.langs == ["en", "l00", "l01"]
+    got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(docs, model).collect()}
+    assert set(got.values()) <= {"en", "l00", "l01"} and all(got[100 + i] == "en" for i in range(40))
+    assert language_id.predict(docs.limit(0), model).count() == 0
+
+
+def test_language_svm_against_a_plain_one():
+    """The machine for a pair against plain gradient descent on the same loss."""
+    rng = np.random.default_rng(1)
+    y = np.where(rng.random(120) < 0.3, 1.0, -1.0)
+    x = rng.normal(size=(120, 5)) + y[:, None] * np.array([1.0, 0.5, 0, 0, 0])
+    w, b = language_id._svm(x, y, rounds=3000)
+    n, c = len(y), 10.0
+    weight = np.where(y > 0, n / (2 * (y > 0).sum()), n / (2 * (y < 0).sum()))
+    loss = lambda w, b: 0.5 / n * (w @ w) + c * np.mean(weight * np.maximum(0, 1 - y * (x @ w + b)) ** 2)
+    best = loss(w, b)
+    for _ in range(300):
+        d = rng.normal(size=6) * 0.02
+        assert loss(w + d[:5], b + d[5]) > best - 1e-6
+
+
+def test_chat_empty(spark):
+    assert chat.read_back(chat.reconstruct(chat.turns_to_events(spark.createDataFrame([], "conv_id long, turn long, role string, text string")))).count() == 0
+
+
+def test_exact_edge_cases(spark):
+    rows = [(None, "Same"), (None, "same"), (7, "SAME"), (7, "same"), (None, "alone"), (None, None), (3, "")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = exact_dedup.classify(frame, batches=3).collect()
+    assert len(got) == 7
+    same = [r for r in got if r["group_size"] == 4]
+    assert len(same) == 4 and {r["keep_id"] for r in same} == {7} and sum(r["kept"] for r in same) == 1
+    assert [(r["keep_id"], r["kept"]) for r in got if r["group_size"] == 1] == [(None, True)]
+    assert sorted((r["doc_id"] or 0, r["kept"]) for r in got if r["group_size"] == 2) == [(0, False), (3, True)]
+    assert sorted(r["text"] or "" for r in exact_dedup.drop_copies(frame).collect()) in (["", "SAME", "alone"], ["", "alone", "same"])
+
+
+def test_exact_over_many_batches_and_buckets(spark, monkeypatch):
+    """Copies within a batch and across three of them, in several buckets and check filters."""
+    monkeypatch.setattr(exact_dedup, "BUCKET_KEYS", 40)
+    monkeypatch.setattr(exact_dedup, "CHECK_KEYS", 16)
+    rnd = random.Random(2)
+    texts = [f"text {rnd.randrange(150)}" for _ in range(400)]
+    got = {r["doc_id"]: (r["keep_id"], r["group_size"], r["kept"]) for r in exact_dedup.classify(make(spark, texts), batches=4).collect()}
+    of = defaultdict(list)
+    for i, t in enumerate(texts):
+        of[t].append(i)
+    assert got == {i: (max(of[t]), len(of[t]), i == max(of[t])) for i, t in enumerate(texts)}
+
+
+def test_written_tables_can_be_removed(spark):
+    from lodestone.llm import common
+
+    t = materialize(spark.range(3), "t")
+    path = t._written.removeprefix("file:")
+    assert os.path.isdir(path)
+    common.discard(t, spark.range(1))
+    assert not os.path.isdir(path)
+    uri = common.fresh_path(spark, "file")
+    common.write_shared(f"{uri}/x", *common.pack(np.arange(3), np.array([1.5])))
+    a, b = common.unpack(f"{uri}/x")
+    assert a.tolist() == [0, 1, 2] and b.tolist() == [1.5]
