@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -17,17 +19,16 @@ PASSAGES = "id string, document_id string, filename string, text string, page in
 def windows(text: str, size: int, overlap: int):
     """(start, end) of consecutive windows. A window that isn't the last ends before the last blank
     or line end of its second half, if there is one; the next begins `overlap` before that end."""
-    at, n = 0, len(text)
-    while at < n:
-        stop = min(n, at + size)
-        if stop < n:
-            half = at + size // 2
-            cut = max(text.rfind(mark, half, stop) for mark in "\n ")
-            stop = cut if cut > at else stop
-        yield at, stop
-        if stop == n:
-            return
-        at = max(at + 1, stop - overlap)
+    gaps = [m.start() for m in re.finditer("[\n ]", text)]
+    begin = 0
+    while len(text) - begin > size:
+        last = bisect_left(gaps, begin + size) - 1
+        in_half = last >= 0 and gaps[last] >= max(begin + size // 2, begin + 1)
+        end = gaps[last] if in_half else begin + size
+        yield begin, end
+        begin = max(end - overlap, begin + 1)
+    if begin < len(text):
+        yield begin, len(text)
 
 
 def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
