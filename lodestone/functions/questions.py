@@ -85,3 +85,10 @@ def route(q: Column) -> Column:
         F.when(clean == "", "empty").when(any_of(low, GLOBAL), "global").when(any_of(low, RELATIONAL), "relational")
         .when(exact & (F.size(F.split(clean, r"\s+")) <= 8), "exact").when(any_of(low, CONCEPTUAL) & ~exact, "conceptual").otherwise("other")
     )
+
+
+def routed(q: Column) -> tuple[Column, Column]:
+    """Mode and confidence of the rule that decides."""
+    rule = route(q)
+    pick = lambda i: F.element_at(F.create_map(*[F.lit(x) for name, way in ROUTES.items() for x in (name, way[i])]), rule)
+    return pick(0), pick(1)

@@ -9,6 +9,7 @@ from ..functions import scoring
 from ..functions import vectors as V
 from ..functions.rewriting import weights
 from ..functions.text import entities, overlap, tokens
+from .written import small, written
 
 K1, B, EXPANSION_WEIGHT, FUSION_K, DEPTH = 1.5, 0.75, 0.25, 60, 60
 
@@ -16,26 +17,43 @@ K1, B, EXPANSION_WEIGHT, FUSION_K, DEPTH = 1.5, 0.75, 0.25, 60, 60
 def postings(passages: DataFrame) -> DataFrame:
     """id, length, term, tf: a row for each distinct word of a passage."""
     words = passages.select("id", tokens(F.col("text")).alias("words")).select("id", F.size("words").alias("length"), F.explode("words").alias("term"))
-    return words.groupBy("id", "term").agg(F.count("*").alias("tf"), F.any_value("length").alias("length"))
+    return words.groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+
+
+def _sent(df: DataFrame) -> DataFrame:
+    """df, marked to be sent to every task if its size, as the optimizer bounds it, allows that."""
+    return F.broadcast(df) if small(df) else df
+
+
+def asked_postings(passages: DataFrame, asked: DataFrame) -> DataFrame:
+    """id, length, term, tf for the terms of asked(term), and for every passage a row of the empty term: the
+    passages are read and cut in words once, and everything that a score needs follows from this table.
+    It is dealt by passage, so that the scores of a passage need no further shuffle."""
+    words = passages.select("id", tokens(F.col("text")).alias("words"))
+    words = words.select("id", F.size("words").alias("length"), F.explode(F.array_append("words", F.lit(""))).alias("term"))
+    asked = asked.select("term").unionByName(asked.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    tf = words.join(_sent(asked), "term").groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
+    return written(tf, "postings")
 
 
 def keyword_scores(passages: DataFrame, questions: DataFrame, expansion: DataFrame | None = None) -> DataFrame:
-    """qid, id, score > 0 by BM25. questions(qid, text); expansion(qid, term) weighs a quarter.
-    Only words of the questions leave the passages' scan: the join on them comes before counting."""
+    """qid, id, score > 0 by BM25. questions(qid, text); expansion(qid, term) weighs a quarter. Only words of
+    the questions leave the passages' scan. The scores of a passage for all questions come from one
+    task, so ranks of the best can be cut before they are shuffled."""
     q = questions.select("qid", F.explode(F.array_distinct(tokens(F.col("text")))).alias("term"), F.lit(1.0).alias("weight"))
     if expansion is not None:
         more = expansion.select("qid", "term").distinct().join(q.select("qid", "term"), ["qid", "term"], "left_anti")
         q = q.unionByName(more.withColumn("weight", F.lit(EXPANSION_WEIGHT)))
-    asked = q.select("term").distinct()
-    words = passages.select("id", tokens(F.col("text")).alias("words")).withColumn("length", F.size("words"))
-    whole = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
+    tf = asked_postings(passages, q)
+    whole = tf.where("term = ''").agg(F.count("*").alias("n"), F.avg("length").alias("mean"))
     whole = whole.select("n", F.when(F.col("mean") > 0, F.col("mean")).otherwise(1.0).alias("mean"))
-    tf = words.select("id", "length", F.explode("words").alias("term")).join(asked, "term").groupBy("id", "length", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
+    df = tf.where("term <> ''").groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     rare = df.crossJoin(F.broadcast(whole)).select("term", idf.alias("idf"), "mean")  # one row
-    gain = F.col("weight") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return tf.join(q.join(rare, "term"), "term").groupBy("qid", "id").agg(F.sum(gain).alias("score")).where("score > 0")
+    worth = written(q.join(rare, "term").select("qid", "term", (F.col("weight") * F.col("idf") * (K1 + 1)).alias("worth"), F.lit(K1 * (1 - B)).alias("k0"), (F.lit(K1 * B) / F.col("mean")).alias("k1")), "terms")
+    gain = F.col("worth") * F.col("tf") / (F.col("tf") + F.col("k0") + F.col("k1") * F.col("length"))
+    by_passage = tf.where("term <> ''").repartition("id")
+    return by_passage.join(_sent(worth), "term").groupBy("qid", "id").agg(F.sum(gain).alias("score")).where("score > 0")
 
 
 def ranked(scores: DataFrame, depth: int = DEPTH, keys: tuple[str, ...] = ("qid",)) -> DataFrame:
@@ -50,23 +68,52 @@ def fused(scores: DataFrame, depth: int = DEPTH) -> DataFrame:
     return r.groupBy("qid", "id").agg(F.sum(F.col("weight") / (FUSION_K + F.col("rank"))).alias("fusion"), F.sort_array(F.collect_set("channel")).alias("channels"))
 
 
+#: Questions that are held against all passages at a time.
+BLOCK = 4096
+
+
+def _blocks(questions: DataFrame) -> list[DataFrame]:
+    """The questions in blocks of about BLOCK, each of which can be sent to every task."""
+    n = -(-questions.count() // BLOCK)
+    return [questions] if n <= 1 else [questions.where(F.pmod(F.xxhash64("qid"), F.lit(n)) == k) for k in range(n)]
+
+
+def _against(passages: DataFrame, questions: DataFrame, score, most: int, kept) -> DataFrame:
+    """The `most` best passages of each question by score(passage, question) columns, with the columns in
+    kept: all pairs are scored, in blocks of questions, and every partition hands on `most` of each."""
+    out = None
+    for q in _blocks(written(questions, "questions")):
+        x = passages.join(F.broadcast(q), F.lit(True)).withColumn("_s", score)  # BLOCK rows
+        x = x.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(F.desc("_s"), "id"))).where(F.col("rank") <= most).select("qid", "id", *kept)
+        out = x if out is None else out.unionByName(x)
+    return out
+
+
 def funnel_scores(passages: DataFrame, questions: DataFrame, coarse: int, pool: int = 60, alpha: float = 0.9) -> DataFrame:
     """passages(id, vector), questions(qid, vector) -> qid, id, score: the pool of best passages by
     the unit prefixes, scored again on whole vectors and blended. The questions are a given set
-    held against all passages; only the pool of each leaves the window."""
+    held against all passages, in blocks; only the pool of each leaves the window."""
     c = passages.select("id", "vector", V.prefix(F.col("vector"), coarse).alias("small"))
     q = questions.select("qid", F.col("vector").alias("asked"), V.prefix(F.col("vector"), coarse).alias("asked_small"))
-    x = c.join(F.broadcast(q), F.lit(True)) if _small(q) else c.join(q, F.lit(True))
-    x = x.withColumn("first", V.dot(F.col("small"), F.col("asked_small")))
-    order = Window.partitionBy("qid").orderBy(F.desc("first"), "id")
-    x = x.select("qid", "id", "vector", "asked", "first").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= pool)
+    x = _against(c, q, V.dot(F.col("small"), F.col("asked_small")), pool, ["vector", "asked", F.col("_s").alias("first")])
     x = x.select("qid", "id", (alpha * V.dot(F.col("vector"), F.col("asked")) + (1 - alpha) * F.col("first")).alias("score"))
     return x.where("score > 0").select("qid", "id", F.least("score", F.lit(1.0)).alias("score"))
 
 
-def _small(df: DataFrame, most: int = 64 << 20) -> bool:
-    """Whether the optimizer's estimate of df, an upper bound for scans, allows a broadcast."""
-    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+def vector_scores(passages: DataFrame, questions: DataFrame, coarse: int = 64, pool: int = 60, alpha: float = 0.9, funnel: bool = True, most: int = DEPTH) -> DataFrame:
+    """passages(id, vector), questions(qid, vector) -> qid, id, score in (0, 1]. By the funnel if there are more
+    passages than its pool and the vectors have 128 components or more, else by whole vectors, the
+    `most` best. Vectors of another size than the passages' are an error."""
+    sizes = passages.agg(F.count("*").alias("n"), F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi")).first()
+    asked = questions.agg(F.min(F.size("vector")).alias("lo"), F.max(F.size("vector")).alias("hi")).first()
+    if sizes["n"] == 0 or asked["lo"] is None:
+        return questions.select("qid").limit(0).crossJoin(passages.select("id").limit(0)).withColumn("score", F.lit(0.0))
+    if {sizes["lo"], sizes["hi"], asked["lo"], asked["hi"]} != {sizes["lo"]}:
+        raise ValueError("vectors of the index and the questions differ in size; build the index again")
+    if funnel and sizes["n"] > pool and sizes["lo"] >= 128:
+        return funnel_scores(passages, questions, min(coarse, sizes["lo"]), pool, alpha)
+    x = _against(passages.select("id", "vector"), questions.select("qid", F.col("vector").alias("asked")), V.dot(F.col("vector"), F.col("asked")), most, [F.col("_s").alias("score")])
+    return x.where("score > 0").select("qid", "id", F.least("score", F.lit(1.0)).alias("score"))
 
 
 def edge_order(rank, size):
@@ -116,20 +163,43 @@ def reranked(candidates: DataFrame) -> DataFrame:
     return x.withColumn("relevance", F.when(idle, 0.0).otherwise(F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 4))).drop("_asked", "_words", "_lex", "_max", "_phrase", "_near", "_ent")
 
 
+def fusion_weights(questions: DataFrame) -> DataFrame:
+    """questions(qid, text, mode) -> qid, channel, weight: of a hybrid question all channels with the weights
+    that its words give them, else the one that the mode names."""
+    w = weights(F.col("text"))
+    hybrid = F.create_map(F.lit("keyword"), w["keyword"], F.lit("vector"), w["vector"], F.lit("graph"), w["graph"])
+    of = F.when(F.col("mode") == "hybrid", hybrid).otherwise(F.create_map(F.col("mode"), F.lit(1.0)))
+    return questions.select("qid", F.explode(of).alias("channel", "weight"))
+
+
+def blended_ranks(scores: DataFrame, weights_: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """scores(qid, channel, id, score, path), weights(qid, channel, weight) -> the depth best of each question:
+    qid, id, fusion, channels, vector and graph (their scores), path (of the graph)."""
+    best = ranked(scores, depth, ("qid", "channel")).join(weights_, ["qid", "channel"])
+    of = lambda c, x: F.max(F.when(F.col("channel") == c, F.col(x)))
+    f = best.groupBy("qid", "id").agg(
+        F.sum(F.col("weight") / (FUSION_K + F.col("rank"))).alias("score"), F.sort_array(F.collect_set("channel")).alias("channels"),
+        of("vector", "score").alias("vector"), of("graph", "score").alias("graph"), of("graph", "path").alias("path"),
+    )
+    return ranked(f, depth).withColumnRenamed("score", "fusion").drop("rank")
+
+
+def with_mode(questions: DataFrame) -> DataFrame:
+    return questions if "mode" in questions.columns else questions.withColumn("mode", F.lit("hybrid"))
+
+
 def retrieve(passages: DataFrame, questions: DataFrame, channels: DataFrame | None = None, expansion: DataFrame | None = None, top_k: int = 5) -> DataFrame:
-    """passages(PASSAGES), questions(qid, text), channels(qid, channel, id, score, path) of further channels ("vector", "graph") -> selected. Keyword
-    scores and channels are fused with the weights that a question's words give them; the DEPTH best are
-    scored again with all their features, and what is left is picked without overlap."""
-    w = questions.select("qid", weights(F.col("text")).alias("w")).select("qid", F.explode(F.create_map(F.lit("keyword"), "w.keyword", F.lit("vector"), "w.vector", F.lit("graph"), "w.graph")).alias("channel", "weight"))
+    """passages(PASSAGES), questions(qid, text; mode: hybrid where it isn't given), channels(qid, channel, id, score, path) of
+    further channels ("vector", "graph") -> selected, with channels and path. Keyword scores and channels
+    are fused with the weights of the question; the DEPTH best are scored again with all their
+    features, and what is left is picked without overlap."""
+    questions = with_mode(questions)
     kinds = "qid", "channel", "id", "score", "path"
     all_ = keyword_scores(passages, questions, expansion).withColumn("channel", F.lit("keyword")).withColumn("path", F.lit(None).cast("array<string>")).select(*kinds)
     all_ = all_ if channels is None else all_.unionByName(channels.select(*kinds))
-    best = ranked(all_, DEPTH, ("qid", "channel")).join(w, ["qid", "channel"])
-    of = lambda c, x: F.max(F.when(F.col("channel") == c, F.col(x)))
-    f = best.groupBy("qid", "id").agg(F.sum(F.col("weight") / (FUSION_K + F.col("rank"))).alias("score"), of("vector", "score").alias("vector"), of("graph", "score").alias("graph"), of("graph", "path").alias("path"))
-    pool = ranked(f, DEPTH).withColumnRenamed("score", "fusion").drop("rank")
+    pool = written(blended_ranks(all_, fusion_weights(questions)), "pool")
     x = pool.join(passages.select("id", "document_id", "page", "start", "end", "text"), "id").join(questions.select("qid", F.col("text").alias("question")), "qid")
-    return selected(reranked(x), top_k)
+    return selected(reranked(x), top_k).join(pool.select("qid", "id", "channels", "path"), ["qid", "id"])
 
 
 def kept_by_prefix(passages: DataFrame, questions: DataFrame, coarse: int, k: int = 10) -> DataFrame:
@@ -138,8 +208,7 @@ def kept_by_prefix(passages: DataFrame, questions: DataFrame, coarse: int, k: in
     unit = lambda v: V.normalized(F.col(v))
     c = passages.select("id", unit("vector").alias("v"), V.prefix(F.col("vector"), coarse).alias("s"))
     q = questions.select("qid", unit("vector").alias("u"), V.prefix(F.col("vector"), coarse).alias("t"))
-    x = c.join(F.broadcast(q), F.lit(True)) if _small(q) else c.join(q, F.lit(True))
-    x = x.select("qid", "id", F.round(V.dot(F.col("v"), F.col("u")), 9).alias("whole"), F.round(V.dot(F.col("s"), F.col("t")), 9).alias("part"))
-    best = lambda by: F.row_number().over(Window.partitionBy("qid").orderBy(F.desc(by), "id")) <= k
-    x = x.withColumn("a", best("whole")).withColumn("b", best("part")).where("a or b")
-    return x.groupBy("qid").agg(F.round(F.count_if(F.col("a") & F.col("b")) / F.greatest(F.count_if("a"), F.lit(1)), 6).alias("retention"))
+    whole = _against(c, q, F.round(V.dot(F.col("v"), F.col("u")), 9), k, [F.lit(1).alias("whole"), F.lit(0).alias("part")])
+    part = _against(c, q, F.round(V.dot(F.col("s"), F.col("t")), 9), k, [F.lit(0).alias("whole"), F.lit(1).alias("part")])
+    x = whole.unionByName(part).groupBy("qid", "id").agg(F.sum("whole").alias("a"), F.sum("part").alias("b"))
+    return x.groupBy("qid").agg(F.round(F.count_if((F.col("a") > 0) & (F.col("b") > 0)) / F.greatest(F.sum("a"), F.lit(1)), 6).alias("retention"))
