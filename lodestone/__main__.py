@@ -1,53 +1,45 @@
-"""python -m lodestone ingest FOLDER INDEX | documents INDEX | ask INDEX QUESTION"""
+"""python -m lodestone INDEX demo | ingest FOLDER | delete ID... | documents | ask QUESTION [MODE] | history | evaluate
+
+Tables are printed row by row as JSON lines, all of them, as they come from the cluster."""
 
 from __future__ import annotations
 
 import json
 import sys
 
-from pyspark.sql import SparkSession
-from pyspark.sql import functions as F
-
-from .operators import answers, chunking, retrieval, store
-from .sources import documents
-
-
-def ingest(spark: SparkSession, folder: str, index: str) -> dict:
-    """The readable files of a folder become the index's next revision; failed ones are named."""
-    files = documents.read_texts(spark, folder)
-    failed = {r["filename"]: r["status"] for r in files.where("status <> 'ok'").select("filename", "status").collect()}
-    return {"revision": store.commit(chunking.passages(files.where("status = 'ok'")), index), "failed": failed}
-
+from pyspark.sql import DataFrame, SparkSession
 
-def listed(spark: SparkSession, index: str) -> list[dict]:
-    return [r.asDict() for r in store.snapshot(spark, index).groupBy("filename").agg(F.count("*").alias("passages")).orderBy("filename").collect()]
+from .service import Service
+from .settings import Settings
 
 
-def ask(spark: SparkSession, index: str, question: str, top_k: int = 5) -> dict:
-    """The passages picked for a question and the sentences of them that answer it; none: abstained."""
-    if not question.strip():
-        raise ValueError("a question has at least one character")
-    p, q = store.snapshot(spark, index), spark.createDataFrame([(1, question)], "qid int, text string")
-    e = retrieval.retrieve(p, q, top_k=top_k).join(p.select("id", "filename", F.col("text").alias("passage")), "id")
-    found = e.select("source_id", "filename", "relevance", "passage").orderBy(F.desc("relevance"), "source_id").collect()  # top_k rows
-    if not found:
-        return {"status": "abstained", "evidence": [], "claims": []}
-    rows = spark.createDataFrame([(1, question, int(r["source_id"][1:]), r["passage"]) for r in found], "qid int, question string, position int, passage string")
-    said = answers.extracted(rows).orderBy("rank").collect()
-    claims = [{"source_id": f"S{r['position']}", "text": r["sentence"]} for r in said]
-    return {"status": "supported" if claims else "abstained", "evidence": [r.asDict() for r in found], "claims": claims}
+def show(found) -> None:
+    """Prints a value, or every row of a table without holding more than a part of it."""
+    if isinstance(found, DataFrame):
+        for row in found.toLocalIterator():
+            print(json.dumps(row.asDict(recursive=True), ensure_ascii=False, default=str))
+    elif isinstance(found, dict) and any(isinstance(v, DataFrame) for v in found.values()):
+        print(json.dumps({k: v for k, v in found.items() if not isinstance(v, DataFrame)}, ensure_ascii=False, default=str))
+        for v in found.values():
+            if isinstance(v, DataFrame):
+                show(v)
+    else:
+        print(json.dumps(found, ensure_ascii=False, default=str, indent=1))
 
 
-COMMANDS = {"ingest": ingest, "documents": listed, "ask": ask}
+COMMANDS = {
+    "demo": lambda s: s.demo(), "ingest": lambda s, folder: s.ingest(folder), "delete": lambda s, *ids: {"revision": s.delete(list(ids))}, "documents": lambda s: s.documents(),
+    "ask": lambda s, question, mode="hybrid": s.ask_one(question, mode), "history": lambda s: s.history(), "evaluate": lambda s: s.evaluate(),
+}
 
 
 def main(args: list[str], spark: SparkSession | None = None) -> int:
-    if not args or args[0] not in COMMANDS:
+    if len(args) < 2 or args[1] not in COMMANDS:
         print(__doc__, file=sys.stderr)
         return 2
     try:
-        print(json.dumps(COMMANDS[args[0]](spark or SparkSession.builder.getOrCreate(), *args[1:]), ensure_ascii=False, indent=1))
-    except (ValueError, OSError, RuntimeError) as e:
+        show(COMMANDS[args[1]](Service(spark or SparkSession.builder.getOrCreate(), args[0], Settings.from_env()), *args[2:]))
+    except (ValueError, OSError, RuntimeError, KeyError, TypeError) as e:
         print(e, file=sys.stderr)
         return 1
     return 0
