@@ -40,5 +40,6 @@ def agg_retention(spark, d):
 
 @query("scl_vec")
 def scl_vec(spark, d):
+    """The components of each document's vector that aren't zero."""
     x = embedding.embedded(_read(spark, d, "documents"))
-    return x.select("doc_id", F.size(F.filter("vector", lambda v: v != 0)).cast("long").alias("used"), F.round(F.aggregate("vector", F.lit(0.0), lambda s, v: s + v), 6).alias("total"))
+    return x.select("doc_id", F.posexplode("vector").alias("i", "x")).where("x <> 0").select("doc_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import drafts, retrieval
-from .queries import _read, asked, passages, query, tokens_sql
+from .queries import _read, query, tokens_sql
 
 _CLAIMS = "c as (select conv_id as qid, row_number() over (partition by conv_id order by turn, text) - 1 as draft, turn as position, text, substr(text, 1, 60) as quote from conversations where role = 'assistant')"
 _VOCAB = f"v as (select qid, draft, list_distinct({tokens_sql('text')}) as words from c)"
@@ -60,12 +60,6 @@ def pl_synth(spark, d):
     return x.select("qid", F.col("rank").cast("long").alias("rank"), "position", F.sha2("text", 256).alias("text_sha256"))
 
 
-@query("pl_retrieve")
-def pl_retrieve(spark, d):
-    """The five passages that the whole pipeline picks for each benchmark item."""
-    return retrieval.retrieve(passages(spark, d), asked(spark, d)).select("qid", "source_id", "id", F.round("relevance", 4).alias("relevance"))
-
-
 @query("scl_rerank")
 def scl_rerank(spark, d):
     """Assistant turns scored against their conversation's first question."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import condense, hypothetical, sections
 from ..functions import text as T
 from ..operators import chunking
-from .queries import _CHUNKS, pages, passages, query, tokens_sql, user_turns
+from .queries import _CHUNKS, pages, passages, query, tokens_sql, turns
 from .scoring import _PAIRS, _SENTENCES, pairs
 
 
@@ -27,7 +27,7 @@ def scl_strips(spark, d):
 
 @query("scl_hyde")
 def scl_hyde(spark, d):
-    return user_turns(spark, d).select("conv_id", "turn", hypothetical.passage(F.col("text")).alias("passage"))
+    return turns(spark, d).select("conv_id", "turn", hypothetical.passage(F.col("text")).alias("passage"))
 
 
 @query("scl_prop")

@@ -9,6 +9,7 @@ from ..functions import questions as Q
 from ..functions import text as T
 from ..functions import vectors as V
 from ..operators import answers, chunking, graph, retrieval
+from ..operators.written import written
 from ..sources import documents as S
 
 QUERIES: dict = {}
@@ -42,8 +43,8 @@ def asked(spark: SparkSession, d: str) -> DataFrame:
     return _read(spark, d, "benchmark").select(F.col("item_id").alias("qid"), "text")
 
 
-def user_turns(spark: SparkSession, d: str) -> DataFrame:
-    return _read(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", "text")
+def turns(spark: SparkSession, d: str) -> DataFrame:
+    return _read(spark, d, "conversations").select("conv_id", "turn", "text")
 
 
 # -- SQL building blocks
@@ -67,6 +68,18 @@ def any_sql(x: str, patterns: list[str]) -> str:
     return "(" + " or ".join("regexp_matches({}, '{}')".format(x, p.replace("'", "''")) for p in patterns) + ")"
 
 
+#: Letters beyond ASCII that the tables have; in SQL they become a word character that no name holds.
+_LETTERS = "".join(chr(c) for c in range(0xC0, 0x250) if chr(c).isalpha())
+
+
+def entities_sql(x: str) -> str:
+    """The entities of a text without marks, as the tables are."""
+    plain = f"translate(regexp_replace({x}, '(?m)^\\s*#{{1,6}}\\s+.*$', '', 'g'), '{_LETTERS}', '{'_' * len(_LETTERS)}')"
+    names = f"regexp_extract_all({plain}, '\\b(?:[A-Z][a-zA-Z0-9]+(?:[ -][A-Z][a-zA-Z0-9]+){{0,2}}|[A-Z]{{2,}})\\b')"
+    clean = f"list_transform({names}, lambda n: regexp_replace(lower(n), '^(?:(?:{'|'.join([*T.STOP_WORDS, *T.CONNECTORS])})(?: |$))+', ''))"
+    return f"list_slice(list_sort(list_distinct(list_filter({clean}, lambda n: length(n) > 1))), 1, 24)"
+
+
 _PAGES = "pages_ as (select source || '-' || doc_id || '.txt' as filename, replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)) as body from documents)"
 _CUT = """case when s + {size} < length(body) then
    s + {size} - coalesce(nullif(least(coalesce(nullif(instr(reverse(substr(body, s + {half} + 1, {rest})), chr(10)), 0), 1000000), coalesce(nullif(instr(reverse(substr(body, s + {half} + 1, {rest})), ' '), 0), 1000000)), 1000000), 0)
@@ -170,9 +183,9 @@ def agg_centroid(spark, d):
 
 def _predicate(name: str, column, sql: str):
     def run(spark, d):
-        return user_turns(spark, d).select("conv_id", "turn", column(F.col("text")).alias("answer"))
+        return turns(spark, d).select("conv_id", "turn", column(F.col("text")).alias("answer"))
 
-    query(name, f"select conv_id, turn, {sql} as answer from conversations where role = 'user'")(run)
+    query(name, f"select conv_id, turn, {sql} as answer from conversations")(run)
 
 
 _LOW = "lower(trim(text))"
@@ -239,14 +252,18 @@ hit as (select qid, rank from r join passages_ using (id) join b using (qid) whe
 select b.qid, coalesce(bool_or(rank <= 5), false) as found from b left join hit using (qid) group by b.qid""")
 def agg_recall(spark, d):
     """For each benchmark item, whether one of the five best passages holds it whole."""
-    p, q = passages(spark, d), asked(spark, d)
+    p, q = written(passages(spark, d), "passages"), asked(spark, d)
     top = retrieval.ranked(retrieval.keyword_scores(p, q).withColumn("score", F.round("score", 6)), 5)
     x = top.join(p.select("id", F.col("text").alias("passage")), "id").join(q, "qid")
     hit = x.where(F.contains(T.normalize(F.col("passage")), T.normalize(F.col("text")))).select("qid").distinct().withColumn("hit", F.lit(True))
     return q.select("qid").join(hit, "qid", "left").select("qid", F.coalesce("hit", F.lit(False)).alias("found"))
 
 
-@query("agg_rrf")
+@query("agg_rrf", _BM25 + """, cover as (select qid, id, round(count(*) / (n + m - count(*))::double, 6) as score from (select id, len(list_distinct(ws)) as n, unnest(list_distinct(ws)) as term from w)
+  join (select qid, term, count(*) over (partition by qid) as m from q) using (term) group by qid, id, n, m),
+c as (select qid, 'keyword' as channel, id, round(score, 6) as score, 1.2 as weight from scored where score > 0 union all select qid, 'overlap', id, score, 0.8 from cover),
+r as (select *, row_number() over (partition by qid, channel order by score desc, id) as rank from c)
+select qid, id, round(sum(weight::double / (60 + rank)), 9) as fusion, string_agg(channel, ',' order by channel) as channels from r where rank <= 60 group by qid, id""")
 def agg_rrf(spark, d):
     """Two channels, BM25 over passages and over their documents' names of the same passages, fused."""
     p, q = passages(spark, d), asked(spark, d)
@@ -260,20 +277,23 @@ def agg_rrf(spark, d):
     return f.select("qid", "id", F.round("fusion", 9).alias("fusion"), F.array_join("channels", ",").alias("channels"))
 
 
-@query("scl_entities")
+@query("scl_entities", f"with e as (select doc_id, {entities_sql('text')} as e from documents) select doc_id, len(e)::bigint as n, array_to_string(e, '|') as entities from e")
 def scl_entities(spark, d):
     e = T.entities(F.col("text"))
     return _read(spark, d, "documents").select("doc_id", F.size(e).cast("long").alias("n"), F.array_join(e, "|").alias("entities"))
 
 
-@query("agg_node")
+_MEMBERS = f"with recursive {_CHUNKS}, m as (select id, {entities_sql('text')} as e from passages_)"
+
+
+@query("agg_node", _MEMBERS + " select entity, count(*)::bigint as n from (select unnest(e) as entity from m) group by entity order by n desc, entity limit 45")
 def agg_node(spark, d):
     return graph.nodes(graph.members(passages(spark, d)))
 
 
-@query("jn_cooc")
+@query("jn_cooc", _MEMBERS + ", n as (select id, unnest(e) as entity from m) select x.entity as a, y.entity as b, count(*)::bigint as weight from n x join n y on x.id = y.id and x.entity < y.entity group by a, b")
 def jn_cooc(spark, d):
-    return graph.edges(graph.members(passages(spark, d)))
+    return graph.edges_within(passages(spark, d))
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -281,3 +301,4 @@ def flagship(spark: SparkSession, d: str) -> DataFrame:
 
 
 from . import communities, context, drafting, passages as _passages, scoring, storage  # noqa: E402, F401  they register their queries
+from . import engine  # noqa: E402, F401

@@ -9,7 +9,7 @@ from ..functions import rewriting as R
 from ..functions import scoring as C
 from ..functions import text as T
 from ..operators import answers
-from .queries import _read, norm_sql, query, tokens_sql, user_turns
+from .queries import _read, entities_sql, norm_sql, query, tokens_sql, turns
 
 _PAIRS = "pairs_ as (select * from (select conv_id, turn, role, text, lag(text) over (partition by conv_id order by turn, role, text) as before from conversations) where before is not null)"
 _WORDS = "regexp_extract_all(replace(lower(coalesce({0}, '')), 'ß', 'ss'), '{1}')"
@@ -45,7 +45,7 @@ def scl_prox(spark, d):
     return pairs(spark, d).select("conv_id", "turn", C.proximity(F.array_distinct(T.tokens(F.col("before"))), F.col("text")).alias("score"))
 
 
-@query("scl_maxsim", f"""with {_PAIRS}, p as (select conv_id, turn, {tokens_sql('before')} as q, list_distinct({tokens_sql('text')}) as t from pairs_ where role = 'assistant'),
+@query("scl_maxsim", f"""with {_PAIRS}, p as (select conv_id, turn, {tokens_sql('before')} as q, list_distinct({tokens_sql('text')}) as t from pairs_),
 q as (select conv_id, turn, unnest(q) as x, unnest(range(len(q))) as i from p), t as (select conv_id, turn, unnest(t) as y from p),
 words as (select distinct x, y from (select distinct conv_id, turn, x from q) join t using (conv_id, turn)),
 u as (select x, y, greatest(length(x), length(y)) as longest, len(list_filter(range(1, least(length(x), length(y)) + 1), lambda i: x[1:i] = y[1:i])) as begins,
@@ -55,8 +55,8 @@ l as (select x, y, case when x = y then 1.0 when begins >= 4 and begins / longes
 best as (select conv_id, turn, i, max(like_) as m from q join t using (conv_id, turn) join l using (x, y) group by all)
 select conv_id, turn, coalesce(round(avg(m), 4), 0)::double as score from p left join best using (conv_id, turn) group by conv_id, turn""")
 def scl_maxsim(spark, d):
-    """Assistant turns against the turn before, word by word."""
-    p = pairs(spark, d).where("role = 'assistant'")
+    """Each turn against the one before, word by word."""
+    p = pairs(spark, d)
     return p.select("conv_id", "turn", C.late_interaction(T.tokens(F.col("before")), T.tokens(F.col("text"))).alias("score"))
 
 
@@ -82,9 +82,9 @@ def terms_sql(x: str, least: int, but: tuple[str, ...] = ()) -> str:
 
 def _rewriting(name: str, column, clean: str, terms: str, least: int = 1, last: str = "clean"):
     def run(spark, d):
-        return user_turns(spark, d).select("conv_id", "turn", column(F.col("text")).alias("rewritten"))
+        return turns(spark, d).select("conv_id", "turn", column(F.col("text")).alias("rewritten"))
 
-    sql = f"with c as (select conv_id, turn, text, {clean} as clean from conversations where role = 'user'), t as (select *, {terms} as w from c)"
+    sql = f"with c as (select conv_id, turn, text, {clean} as clean from conversations), t as (select *, {terms} as w from c)"
     query(name, f"{sql} select conv_id, turn, case when len(w) >= {least} then array_to_string(w, ' ') else {last} end as rewritten from t")(run)
 
 
@@ -93,24 +93,51 @@ _rewriting("scl_corrq", R.corrective, f"trim(regexp_replace({norm_sql('text')},
 _rewriting("scl_activeq", R.active, f"trim(regexp_replace(trim(regexp_replace(text, '{R.CITATION}', '', 'g')), '(?i){R.TRANSITION}', ''))", terms_sql("clean", 2), 2, "case when clean <> '' then clean else trim(text) end")
 
 
-@query("prj_weights")
+def _re(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+_WEIGHED = f"""with e as (select conv_id, turn, 1.0 + case when regexp_matches(text, '{_re(R.QUOTED)}') then 0.8 else 0 end + case when regexp_matches(text, '{_re(R.CODE)}') then 0.6 else 0 end as k,
+  1.0 + case when regexp_matches(text, '{_re(R.RELATION)}') then 0.8 when len({entities_sql('text')}) > 0 then 0.5 else 0 end as g,
+  1.0 + case when regexp_matches(text, '{_re(R.EXPLAIN)}') or len(regexp_split_to_array(trim(text), '\\s+')) >= 8 then 0.6 else 0 end as v from conversations)
+select conv_id, turn, """ + ", ".join(f"round({c}::double * 3 / (k + v + g)::double, 3) as {n}" for c, n in (("k", "keyword"), ("v", "vector"), ("g", "graph"))) + " from e"
+
+
+@query("prj_weights", _WEIGHED)
 def prj_weights(spark, d):
     w = R.weights(F.col("text"))
-    return user_turns(spark, d).select("conv_id", "turn", w["keyword"].alias("keyword"), w["vector"].alias("vector"), w["graph"].alias("graph"))
+    return turns(spark, d).select("conv_id", "turn", w["keyword"].alias("keyword"), w["vector"].alias("vector"), w["graph"].alias("graph"))
+
+
+_BARE = "regexp_replace(trim({0}), '\\?+$', '')"
+
+
+def _part(pattern: str, i: int, text: str = "clean") -> str:
+    return _BARE.format(f"regexp_extract({text}, '{_re(pattern)}', {i})")
+
+
+_PARTS = f"""with c as (select conv_id, turn, trim(text) as clean, list_transform(list_filter(string_split(trim(text), '?'), lambda p: trim(p) <> ''), lambda p: trim(p) || '?') as several from conversations),
+p as (select conv_id, turn, list_slice(case when clean = '' then [] when contains(substr(clean, 1, length(clean) - 1), '?') and len(several) > 1 then several
+  when regexp_matches(clean, '{_re(R.COMPARE)}') then ['Details about ' || {_part(R.COMPARE, 1)}, 'Details about ' || {_part(R.COMPARE, 2)}]
+  when regexp_matches(clean, '{_re(R.VERSUS)}') then ['Details about ' || {_part(R.VERSUS, 1)}, 'Details about ' || {_part(R.VERSUS, 2)}]
+  when regexp_matches(clean, '{_re(R.JOINED)}') then [{_part(R.JOINED, 1)} || '?', {_part(R.JOINED, 2)} || '?'] else [clean] end, 1, 3) as p from c)
+select conv_id, turn, len(p)::bigint as n, array_to_string(p, '|') as parts from p"""
 
 
-@query("scl_decomp")
+@query("scl_decomp", _PARTS)
 def scl_decomp(spark, d):
     p = R.parts(F.col("text"))
-    return user_turns(spark, d).select("conv_id", "turn", F.size(p).cast("long").alias("n"), F.array_join(p, "|").alias("parts"))
+    return turns(spark, d).select("conv_id", "turn", F.size(p).cast("long").alias("n"), F.array_join(p, "|").alias("parts"))
 
 
-@query("scl_followq")
+@query("scl_followq", f"""with {_PAIRS}, w as (select conv_id, turn, before as q, list_sort(list_transform({tokens_sql('text')}, lambda x: {{'n': length(x), 'w': x}}), 'DESC')[1].w as bridge from pairs_),
+n as (select *, trim(regexp_replace(q, '{_re(R.PRONOUN)}', coalesce(bridge, ''), 'g')) as named from w)
+select conv_id, turn, case when bridge is null then q when regexp_matches(q, '{_re(R.CLAUSE)}') then 'How does ' || bridge || ' ' || {_part(R.CLAUSE, 1, 'q')} || '?' when lower(named) <> lower(trim(q)) then named else bridge || ' ' || q end as question from n""")
 def scl_followq(spark, d):
-    """The longest word of the answer stands for the bridge."""
+    """The longest word of the turn stands for the bridge."""
     w = T.tokens(F.col("text"))
     longest = F.array_max(F.transform(w, lambda x: F.struct(F.length(x).alias("n"), x.alias("w"))))["w"]
-    return pairs(spark, d).where("role = 'assistant'").select("conv_id", "turn", R.followup(F.col("before"), longest).alias("question"))
+    return pairs(spark, d).select("conv_id", "turn", R.followup(F.col("before"), longest).alias("question"))
 
 
 _FOUND = f"""q_ as (select conv_id, text as question, row_number() over (partition by conv_id order by turn, role, text) as k from conversations where role = 'user'),

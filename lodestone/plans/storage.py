@@ -122,9 +122,9 @@ def gr_bfs(spark, d):
 
 @query("gr_ppr")
 def gr_ppr(spark, d):
-    """Ranks of a walk that starts at region 0."""
-    start = _read(spark, d, "region").where("r_regionkey = 0").select(F.col("r_name").alias("entity"), F.lit(1.0).alias("weight"))
-    return graph.walk_ranks(_trade(spark, d), start).select("entity", F.round("rank", 6).alias("rank"))
+    """Ranks of walks that start at each region."""
+    start = _read(spark, d, "region").select(F.col("r_regionkey").alias("qid"), F.col("r_name").alias("entity"), F.lit(1.0).alias("weight"))
+    return graph.walk_ranks(_trade(spark, d), start).select("qid", "entity", F.round("rank", 6).alias("rank"))
 
 
 _PARENTS = f"""with recursive {_CHUNKS}, pr as (select *, length(text) as n, row_number() over (partition by document_id order by start_at) as rn from passages_),
@@ -149,11 +149,11 @@ def _blend_sql(a: str, b: str, w: float) -> str:
     return f"list_transform(list_zip({a}, {b}), lambda z: z[1]::double * {1 - w} + z[2]::double * {w})"
 
 
-@query("scl_trunc", "with p as (select vec_id, list_slice(embedding, 1, 16) as s from embeddings), n as (select *, sqrt(list_sum(list_transform(s, lambda x: x::double * x::double))) as n from p) select vec_id, round(case when n > 0 then s[1]::double / n else s[1]::double end, 6) as first, round(case when n > 0 then list_sum(list_transform(s, lambda x: x::double)) / n else 0 end, 6) as total from n")
+@query("scl_trunc", "with p as (select vec_id, list_slice(embedding, 1, 16) as s from embeddings), n as (select *, sqrt(list_sum(list_transform(s, lambda x: x::double * x::double))) as n from p), u as (select vec_id, list_transform(s, lambda x: case when n > 0 then x::double / n else x::double end) as u from n) select vec_id, unnest(range(len(u)))::bigint as i, round(unnest(u), 6) as x from u")
 def scl_trunc(spark, d):
-    """The first 16 components, brought to unit length."""
-    p = _read(spark, d, "embeddings").select("vec_id", V.prefix(F.col("embedding"), 16).alias("s"))
-    return p.select("vec_id", F.round(F.element_at("s", 1), 6).alias("first"), F.round(F.aggregate("s", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    """The first 16 components, brought to unit length, a row for each."""
+    p = _read(spark, d, "embeddings").select("vec_id", F.posexplode(V.prefix(F.col("embedding"), 16)).alias("i", "x"))
+    return p.select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
 
 
 _CENTRES = "x as (select label, i, sum(x::double) as s from (select label, unnest(embedding) as x, unnest(range(len(embedding))) as i from embeddings) group by all), centre as (select label, list(s order by i) as c from x group by label), unit as (select label, list_transform(c, lambda y: y / sqrt(list_sum(list_transform(c, lambda z: z * z)))) as c from centre)"
@@ -172,8 +172,8 @@ def scl_cos(spark, d):
     return _centred(spark, d).select("vec_id", F.round(V.cosine(F.col("embedding"), F.col("c")), 6).alias("cosine"))
 
 
-@query("scl_blenddoc", f"with {_CENTRES}, b as (select vec_id, {_blend_sql('embedding', 'c', 0.25)} as b from embeddings join unit using (label)), n as (select *, sqrt(list_sum(list_transform(b, lambda y: y * y))) as n from b) select vec_id, round(b[1] / n, 6) as first, round(list_sum(b) / n, 6) as total from n")
+@query("scl_blenddoc", f"with {_CENTRES}, b as (select vec_id, {_blend_sql('embedding', 'c', 0.25)} as b from embeddings join unit using (label)), n as (select *, sqrt(list_sum(list_transform(b, lambda y: y * y))) as n from b), u as (select vec_id, list_transform(b, lambda y: y / n) as u from n) select vec_id, unnest(range(len(u)))::bigint as i, round(unnest(u), 6) as x from u")
 def scl_blenddoc(spark, d):
-    """Vectors drawn a quarter of the way to the centroid of their label."""
-    b = _centred(spark, d).select("vec_id", V.blended(F.col("embedding"), F.col("c"), 0.25).alias("b"))
-    return b.select("vec_id", F.round(F.element_at("b", 1), 6).alias("first"), F.round(F.aggregate("b", F.lit(0.0), lambda s, x: s + x), 6).alias("total"))
+    """Vectors drawn a quarter of the way to the centroid of their label, a row for each component."""
+    b = _centred(spark, d).select("vec_id", F.posexplode(V.blended(F.col("embedding"), F.col("c"), 0.25)).alias("i", "x"))
+    return b.select("vec_id", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))

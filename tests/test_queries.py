@@ -6,7 +6,6 @@ import duckdb
 import pytest
 
 from lodestone.plans.queries import ORACLE_SQL, QUERIES
-from lodestone.streaming import ingest
 
 DATA = "/root/testdata/sf0.001"
 
@@ -35,11 +34,3 @@ def test_query(spark, tables, name):
         c = tables.execute(ORACLE_SQL[name])
         names = [x[0] for x in c.description]
         assert got == rows(names, c.fetchall())
-
-
-def test_streaming_ingest_is_idempotent(spark, tmp_path):
-    spark.createDataFrame([("a.txt", 1, "one two"), ("b.txt", 1, "three")], "filename string, page int, text string").write.parquet(str(tmp_path / "in"))
-    for _ in range(2):
-        stream = spark.readStream.schema("filename string, page int, text string").parquet(str(tmp_path / "in"))
-        ingest.start(stream, str(tmp_path / "out"), str(tmp_path / "log")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 2
