@@ -35,7 +35,7 @@ CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 INNER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text that a worker handles at once (a longer text alone), and bytes that its cached
 #: chunks may take between blocks; a worker outlives its task, so the cache is emptied when one ends.
-BLOCK_CHARS, CACHE_BYTES = 1_000_000, 32 << 20
+BLOCK_CHARS, CACHE_BYTES = 2_000_000, 32 << 20
 #: Bytes of a cached chunk besides its characters and ids: two object headers and the entry.
 ENTRY_BYTES = 180
 
@@ -304,8 +304,12 @@ def context_report(histogram: DataFrame) -> DataFrame:
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the digests of its ids and of what they decode to. Nulls, empty and long texts, ties, repeated rows, empty tables and further columns:
+    as the module says."""
     return encode(table(spark, sf_dir, "documents"), with_ids=False, with_digests=True)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for every distinct encoded length of all documents. Nulls, empty and long texts, ties, repeated rows, empty tables and further columns:
+    as the module says."""
     return context_report(length_histogram(table(spark, sf_dir, "documents")))

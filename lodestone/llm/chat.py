@@ -160,6 +160,8 @@ def read_back(turns: DataFrame) -> DataFrame:
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one with control strings in its texts, as read back from its rendered turns. Nulls, empty and long texts, ties, repeated rows, empty tables and further columns: as the
+    module says."""
     planted = spark.createDataFrame(PLANTED, "conv_id long, turn long, role string, text string")
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
     return read_back(reconstruct(turns_to_events(turns)))

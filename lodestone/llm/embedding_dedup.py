@@ -257,4 +257,6 @@ def classify(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links and component. Nulls, empty and long texts, ties, repeated rows, empty tables and further columns: as the
+    module says."""
     return classify(table(spark, sf_dir, "embeddings"))

@@ -210,6 +210,8 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the row of its group that stays. Nulls, empty and long texts, ties, repeated rows, empty tables and further columns: as the
+    module says."""
     got = classify(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256"))
 

@@ -223,6 +223,8 @@ def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the language that two thirds of the labelled ones teach. Nulls, empty and long texts, ties, repeated rows, empty tables and further columns: as the
+    module says."""
     docs = table(spark, sf_dir, "documents")
     got = predict(docs, fit(training(docs)))
     return got.select("doc_id", (fold_of(F.col("doc_id"), 3) == 1).alias("held_out"), "lang_pred", "score")

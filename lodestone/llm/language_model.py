@@ -474,6 +474,8 @@ def score(docs: DataFrame, meta: Meta) -> DataFrame:
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its scores by a model of six sevenths of them. Nulls, empty and long texts, ties, repeated rows, empty tables and further columns: as the
+    module says."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     meta = train(docs.where(fold_of(F.col("doc_id"), 7) != 2))
     got = score(docs, meta).withColumn("held_out", fold_of(F.col("doc_id"), 7) == 2)

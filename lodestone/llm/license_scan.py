@@ -151,6 +151,8 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, phrases: dict[s
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its notices and base phrases. Nulls, empty and long texts, ties, repeated rows, empty tables and further columns: as the
+    module says."""
     return scan(table(spark, sf_dir, "documents"))
 
 

@@ -224,5 +224,7 @@ def mixed(docs: DataFrame) -> DataFrame:
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the words that the mix takes of it. Nulls, empty and long texts, ties, repeated rows, empty tables and further columns: as the
+    module says."""
     got = mix(table(spark, sf_dir, "documents"))
     return got.select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", (F.col("copies") * F.col("size")).cast("long").alias("taken"))

@@ -320,5 +320,7 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its fingerprint and component. Nulls, empty and long texts, ties, repeated rows, empty tables and further columns: as the
+    module says."""
     got = classify(table(spark, sf_dir, "documents"))
     return got.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -465,3 +465,10 @@ def test_written_tables_can_be_removed(spark):
     common.write_shared(f"{uri}/x", *common.pack(np.arange(3), np.array([1.5])))
     a, b = common.unpack(f"{uri}/x")
     assert a.tolist() == [0, 1, 2] and b.tolist() == [1.5]
+
+
+def test_simhash_null_ids_and_no_rows(spark):
+    rows = [(None, "one two three"), (None, "one two three"), (4, "ONE two three"), (None, "alone in here"), (6, None), (5, " ")]
+    got = sorted(((r["doc_id"] or 0, r["component_id"] or 0) for r in simhash_dedup.classify(spark.createDataFrame(rows, "doc_id long, text string")).collect()))
+    assert got == [(0, 0), (0, 4), (0, 4), (4, 4), (5, 5), (6, 5)]
+    assert simhash_dedup.classify(spark.createDataFrame([], "doc_id long, text string")).count() == 0
