@@ -183,8 +183,23 @@ def gr_lookup(spark, d):
     return resolution.looked_up(names.select(F.col("entity").alias("name")), resolution.resolved(names))
 
 
+_BUILT: dict[tuple, library.Index] = {}
+
+
 def _index(spark, d):
-    return library.indexed(embedding.embedded(passages(spark, d)))
+    """The index of all documents, built once in a session for the files as they stand."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{d}/documents.parquet")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    files = fs.listFiles(path, True)
+    state = []
+    while files.hasNext():
+        f = files.next()
+        state.append((f.getPath().toString(), f.getLen(), f.getModificationTime()))
+    key = (spark.sparkContext.applicationId, *sorted(state))
+    if key not in _BUILT:
+        _BUILT.clear()
+        _BUILT[key] = library.indexed(embedding.embedded(passages(spark, d)))
+    return _BUILT[key]
 
 
 @query("gr_hippo")

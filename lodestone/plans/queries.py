@@ -199,6 +199,13 @@ _predicate("prj_route", Q.route, f"""case when trim(text) = '' then 'empty' when
   when {any_sql(_LOW, Q.CONCEPTUAL)} and not {any_sql('trim(text)', Q.IDENTIFIER)} then 'conceptual' else 'other' end""")
 
 
+@query("prj_mode", f"with r as ({ORACLE_SQL['prj_route']}) select conv_id, turn, case answer " + " ".join(f"when '{k}' then '{m}'" for k, (m, _) in Q.ROUTES.items()) + " end as mode, (case answer " + " ".join(f"when '{k}' then {c}" for k, (_, c) in Q.ROUTES.items()) + " end)::double as confidence from r")
+def prj_mode(spark, d):
+    """The mode in which each turn would be searched, and how sure that choice is."""
+    mode, sure = Q.routed(F.col("text"))
+    return turns(spark, d).select("conv_id", "turn", mode.alias("mode"), sure.cast("double").alias("confidence"))
+
+
 @query("prd_boiler", "select doc_id, count(*) filter (where " + any_sql("lower(line)", T.BOILERPLATE) + ")::bigint as n from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) group by doc_id")
 def prd_boiler(spark, d):
     lines = _read(spark, d, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line"))
