@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, materialize, table
+from .common import bounded, materialize, table, tidied
 
 #: Splits at white space the way the full pattern does; the rest of the pattern then works inside a
 #: chunk alone, so chunks can be cached whole.
@@ -35,7 +35,7 @@ CHUNK = re.compile(rf" ?[^{WHITE}]+|[{WHITE}]+(?![^{WHITE}])|[{WHITE}]+")
 INNER = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Characters of text that a worker handles at once (a longer text alone), and bytes that its cached
 #: chunks may take between blocks; a worker outlives its task, so the cache is emptied when one ends.
-BLOCK_CHARS, CACHE_BYTES = 2_000_000, 32 << 20
+BLOCK_CHARS, CACHE_BYTES = 1_000_000, 32 << 20
 #: Bytes of a cached chunk besides its characters and ids: two object headers and the entry.
 ENTRY_BYTES = 180
 
@@ -257,7 +257,7 @@ def encode(docs: DataFrame, vocabulary: str | None = None, with_ids: bool = True
         finally:
             bpe.forget()
 
-    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(run, schema)
+    return bounded(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")).mapInArrow(tidied(run), schema)
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -271,7 +271,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
             texts = [bpe.decode(np.asarray(x.as_py() or [], dtype="<u4").tobytes()) for x in b.column("ids")]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return bounded(encoded.select("doc_id", "ids")).mapInArrow(run, "doc_id long, text string")
+    return bounded(encoded.select("doc_id", "ids")).mapInArrow(tidied(run), "doc_id long, text string")
 
 
 def length_histogram(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:

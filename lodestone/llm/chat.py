@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded, table
+from .common import bounded, table, tidied
 
 START, END = "<|im_start|>", "<|im_end|>"
 LOSS_ROLE = "assistant"
@@ -118,7 +118,7 @@ def reconstruct(events: DataFrame) -> DataFrame:
                 ["conv_id", "position", "formatted", "loss_start", "loss_end"],
             )
 
-    return bounded(live).mapInArrow(run, "conv_id long, position long, formatted string, loss_start long, loss_end long")
+    return bounded(live).mapInArrow(tidied(run), "conv_id long, position long, formatted string, loss_start long, loss_end long")
 
 
 def read_back(turns: DataFrame) -> DataFrame:
@@ -156,7 +156,7 @@ def read_back(turns: DataFrame) -> DataFrame:
     def batch(out):
         return pa.RecordBatch.from_pylist(out, schema=schema)
 
-    return bounded(turns).mapInArrow(run, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    return bounded(turns).mapInArrow(tidied(run), "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
 
 
 def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

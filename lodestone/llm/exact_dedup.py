@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import fuse_filter
-from .common import Opened, bounded, discard, fold_of, fresh_path, keep_rows, map_shared, materialize, pack, table, unpack, write_shared
+from .common import Opened, bounded, discard, fold_of, fresh_path, keep_rows, map_shared, materialize, pack, table, tidied, unpack, write_shared
 
 #: Digests of one bucket, for which one task builds or probes a filter; digests that share one of the
 #: filters of the byte check, and how many of those a task maps at a time.
@@ -54,7 +54,7 @@ def digests(docs: DataFrame, digest=sha256) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(out, pa.binary()), pa.array(short(out))], ["doc_id", "row_key", "digest", "h"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    return bounded(rows).mapInArrow(run, "doc_id long, row_key long, digest binary, h long")
+    return bounded(rows).mapInArrow(tidied(run), "doc_id long, row_key long, digest binary, h long")
 
 
 def write_snapshot(groups: DataFrame, root: str) -> None:
@@ -173,7 +173,7 @@ def repeated_texts(docs: DataFrame, groups: DataFrame, digest=sha256) -> DataFra
                 )
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    return bounded(rows).mapInArrow(run, "doc_id long, row_key long, digest binary, text string")
+    return bounded(rows).mapInArrow(tidied(run), "doc_id long, row_key long, digest binary, text string")
 
 
 def classify(docs: DataFrame, batches: int = 2, digest=sha256) -> DataFrame:

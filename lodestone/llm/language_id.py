@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, by_position, fold_of, table
+from .common import bounded, by_position, fold_of, table, tidied
 
 DIMENSIONS, MAX_PER_LANGUAGE, MAX_LANGUAGES, UNKNOWN, MIN_SCORE = 1 << 12, 400, 100, "und", 0.2
 FAMILIES = {
@@ -178,7 +178,7 @@ def fit(docs: DataFrame, per_language: int = MAX_PER_LANGUAGE, languages: int =
             out = [(v, h, x) for v, h, t in zip(b.column("lang").to_pylist(), b.column("h").to_pylist(), b.column("text")) if (x := features(t.as_py())) is not None]
             yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2].astype(np.float16).tobytes() for x in out], pa.binary())], ["lang", "h", "x"])
 
-    rows = bounded(chosen).mapInArrow(run, "lang string, h long, x binary").collect()  # at most about 1.5 x per_language for each language
+    rows = bounded(chosen).mapInArrow(tidied(run), "lang string, h long, x binary").collect()  # at most about 1.5 x per_language for each language
     rows.sort(key=lambda r: (r["lang"], (r["h"] >> 11) & (1 << 53) - 1, r["x"]))
     kept, seen = [], {}
     for r in rows:
@@ -200,7 +200,7 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array([x[0] for x in out], pa.string()), pa.array([x[1] for x in out], pa.float64())], ["doc_id", "row_key", "lang_pred", "score"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    return bounded(rows).mapInArrow(run, "doc_id long, row_key long, lang_pred string, score double")
+    return bounded(rows).mapInArrow(tidied(run), "doc_id long, row_key long, lang_pred string, score double")
 
 
 def training(docs: DataFrame) -> DataFrame:
@@ -219,7 +219,7 @@ def keep_known(docs: DataFrame, min_score: float = MIN_SCORE) -> DataFrame:
             keep = [(x := features(t.as_py())) is not None and m.predict(x)[1] >= min_score for t in b.column(text)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return bounded(plain).mapInArrow(run, plain.schema).toDF(*names)
+    return bounded(plain).mapInArrow(tidied(run), plain.schema).toDF(*names)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

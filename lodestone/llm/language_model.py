@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Opened, bounded, discard, fold_of, fresh_path, materialize, pack, table, unpack, write_shared
+from .common import Opened, bounded, discard, fold_of, fresh_path, materialize, pack, table, tidied, unpack, write_shared
 
 SHARD_WORDS, SHARD_TOKENS, FLUSH_WORDS, FLUSH_PAIRS = 1 << 20, 1 << 20, 250_000, 2_000_000
 BLOCK_CHARS, CACHE_WORDS, OPEN_FILES = 4_000_000, 300_000, 64
@@ -188,7 +188,7 @@ def count_words(docs: DataFrame) -> DataFrame:
         if held:
             yield out()
 
-    return bounded(docs.select("text")).mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
+    return bounded(docs.select("text")).mapInArrow(tidied(run), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def write_words(counts: DataFrame, root: str, documents: int) -> Meta:
@@ -290,7 +290,7 @@ def count_pairs(docs: DataFrame, meta: Meta) -> DataFrame:
         if held:
             yield from out()
 
-    return bounded(docs.select("text")).mapInArrow(run, "shard long, first binary, low binary, high binary, n binary")
+    return bounded(docs.select("text")).mapInArrow(tidied(run), "shard long, first binary, low binary, high binary, n binary")
 
 
 def write_pairs(pairs: DataFrame, meta: Meta) -> DataFrame:
@@ -470,7 +470,7 @@ def score(docs: DataFrame, meta: Meta) -> DataFrame:
                 at += len(own)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return bounded(rows).mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
+    return bounded(rows).mapInArrow(tidied(run), "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double, perplexity double")
 
 
 def op5_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,23 +151,23 @@ def nudged(x: DataFrame) -> DataFrame:
     cells = rows.withColumn("place", place).where(F.col("place") <= NUDGES)
     way = F.explode(F.array(F.when(F.col("copies") < CAP, F.lit(1)), F.when(F.col("copies") > 0, F.lit(-1)))).alias("change")
     cells = cells.select("source", "h", "doc_id", "row_key", (F.col("size") * F.col("m")).alias("words"), way).where("change is not null")
-    cells, found = materialize(cells, "mix-cells"), None
-    for _ in range(NUDGES):
+    cells = materialize(cells, "mix-cells")
+    found = materialize(cells.select("source", "doc_id", "row_key", "change", "words").limit(0), "mix-nudges")
+    for _ in range(NUDGES):  # the same plan each time, whose code is compiled once
         r = rest.select(F.col("source").alias("s"), "missing")
+        used = found.select(F.col("source").alias("u"), F.col("doc_id").alias("d"), F.col("row_key").alias("k"))
+        free = cells.join(used, _same("source", "u") & _same("doc_id", "d") & (F.col("row_key") == F.col("k")), "left_anti")
         after = F.abs(F.col("missing") - F.col("change") * F.col("words"))
-        near = cells.join(r, _same("source", "s")).withColumn("after", after).where(F.col("after") < F.abs("missing") - 1e-6)
+        near = free.join(r, _same("source", "s")).withColumn("after", after).where(F.col("after") < F.abs("missing") - 1e-6)
         best = near.groupBy("source").agg(F.min(F.struct("after", "h", "change", "doc_id", "row_key", "words")).alias("b"))
         best = materialize(best.select("source", "b.doc_id", "b.row_key", "b.change", "b.words"), "mix-nudge")
         if best.isEmpty():
             break
-        found = best if found is None else found.unionByName(best)
-        b = best.select(F.col("source").alias("s"), F.col("doc_id").alias("d"), F.col("row_key").alias("k"), (F.col("change") * F.col("words")).alias("moved"))
-        last, rest = rest, materialize(rest.join(b, _same("source", "s"), "left").select("source", (F.col("missing") - F.coalesce("moved", F.lit(0))).alias("missing")), "mix-missing")
-        used = _same("source", "s") & _same("doc_id", "d") & (F.col("row_key") == F.col("k"))
-        cells = cells.join(b, used, "left_anti")
-        discard(last)
-    if found is None:
-        return x.select("source", "doc_id", "row_key", F.lit(0).alias("change")).limit(0)
+        b = best.select(F.col("source").alias("s"), (F.col("change") * F.col("words")).alias("moved"))
+        last, rest = (found, rest), materialize(rest.join(b, _same("source", "s"), "left").select("source", (F.col("missing") - F.coalesce("moved", F.lit(0))).alias("missing")), "mix-missing")
+        found = materialize(found.unionByName(best), "mix-nudges")
+        discard(*last, best)
+    discard(cells, rest)
     return found.groupBy("source", "doc_id", "row_key").agg(F.sum("change").alias("change"))
 
 

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded, keep_rows, materialize, table
+from .common import bounded, keep_rows, materialize, table, tidied
 from .components import connected_components
 
 SHINGLE, SEED, MAX_DISTANCE, BITS = 4, 42, 4, 64
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, seed: int = SEED) -> D
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("row_key"), pa.array(fps.view(np.int64))], ["doc_id", "row_key", "fp"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), "text")
-    return bounded(rows).mapInArrow(run, "doc_id long, row_key long, fp long")
+    return bounded(rows).mapInArrow(tidied(run), "doc_id long, row_key long, fp long")
 
 
 # -- the plan: partitions and thresholds
