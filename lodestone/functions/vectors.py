@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
@@ -15,9 +17,9 @@ def norm(v: Column) -> Column:
 
 
 def normalized(v: Column) -> Column:
-    """Unit length; a zero vector stays as it is."""
-    n = norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+    """Unit length; a zero vector stays as it is. Vector and length are computed once, not for every component."""
+    unit = lambda w, n: F.transform(w, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(x.cast("double")))
+    return let(v, lambda w: let(norm(w), lambda n: unit(w, n)))
 
 
 def cosine(a: Column, b: Column) -> Column:
