@@ -143,7 +143,7 @@ def agg_bm25(spark, d):
 
 @query("win_rank", _BM25 + ", r as (select qid, id, round(score, 6) as score, row_number() over (partition by qid order by round(score, 6) desc, id) as rank from scored where score > 0) select qid, id, score, rank::bigint as rank from r where rank <= 60")
 def win_rank(spark, d):
-    s = agg_bm25(spark, d)
+    s = retrieval.keyword_scores(passages(spark, d), asked(spark, d), most=retrieval.DEPTH, digits=6)
     return retrieval.ranked(s).select("qid", "id", "score", F.col("rank").cast("long").alias("rank"))
 
 
@@ -260,7 +260,7 @@ select b.qid, coalesce(bool_or(rank <= 5), false) as found from b left join hit
 def agg_recall(spark, d):
     """For each benchmark item, whether one of the five best passages holds it whole."""
     p, q = written(passages(spark, d), "passages"), asked(spark, d)
-    top = retrieval.ranked(retrieval.keyword_scores(p, q).withColumn("score", F.round("score", 6)), 5)
+    top = retrieval.ranked(retrieval.keyword_scores(p, q, most=5, digits=6), 5)
     x = top.join(p.select("id", F.col("text").alias("passage")), "id").join(q, "qid")
     hit = x.where(F.contains(T.normalize(F.col("passage")), T.normalize(F.col("text")))).select("qid").distinct().withColumn("hit", F.lit(True))
     return q.select("qid").join(hit, "qid", "left").select("qid", F.coalesce("hit", F.lit(False)).alias("found"))
@@ -273,13 +273,8 @@ r as (select *, row_number() over (partition by qid, channel order by score desc
 select qid, id, round(sum(weight::double / (60 + rank)), 9) as fusion, string_agg(channel, ',' order by channel) as channels from r where rank <= 60 group by qid, id""")
 def agg_rrf(spark, d):
     """Two channels, BM25 over passages and over their documents' names of the same passages, fused."""
-    p, q = passages(spark, d), asked(spark, d)
-    text = retrieval.keyword_scores(p, q).select("qid", F.lit("keyword").alias("channel"), "id", F.round("score", 6).alias("score"), F.lit(1.2).alias("weight"))
-    near = p.select("id", F.col("text")).withColumn("w", F.array_distinct(T.tokens(F.col("text"))))
-    want = q.select("qid", F.array_distinct(T.tokens(F.col("text"))).alias("asked"))
-    cover = near.select("id", F.explode("w").alias("term"), F.size("w").alias("n")).join(want.select("qid", F.explode("asked").alias("term"), F.size("asked").alias("m")), "term")
-    cover = cover.groupBy("qid", "id").agg(F.round(F.count("*") / (F.any_value("n") + F.any_value("m") - F.count("*")), 6).alias("score"))
-    both = text.unionByName(cover.select("qid", F.lit("overlap").alias("channel"), "id", "score", F.lit(0.8).alias("weight")))
+    text, cover = retrieval.channel_scores(passages(spark, d), asked(spark, d), 6)
+    both = text.select("qid", F.lit("keyword").alias("channel"), "id", "score", F.lit(1.2).alias("weight")).unionByName(cover.select("qid", F.lit("overlap").alias("channel"), "id", "score", F.lit(0.8).alias("weight")))
     f = retrieval.fused(both)
     return f.select("qid", "id", F.round("fusion", 9).alias("fusion"), F.array_join("channels", ",").alias("channels"))
 
