@@ -6,13 +6,17 @@ import hashlib
 import re
 from bisect import bisect_left
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import short_hash
 
 SIZE, OVERLAP = 900, 150
+#: Bytes of texts and number of passages that a worker holds as Python objects.
+BYTES, ROWS = 1 << 20, 1024
 PASSAGES = "id string, document_id string, filename string, text string, page int, start int, end int"
 
 
@@ -31,6 +35,15 @@ def windows(text: str, size: int, overlap: int):
         yield begin, len(text)
 
 
+def pieces(batch: pa.RecordBatch):
+    """A batch in slices of at most BYTES of text, or one row: only a slice becomes Python objects at a time."""
+    total, begin = np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+    while begin < batch.num_rows:
+        end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + BYTES, side="right")))
+        yield batch.slice(begin, end - begin)
+        begin = end
+
+
 def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """pages(filename, page, text) -> PASSAGES. Narrow: each window depends on the one before, so a
     text is cut by one worker, and nothing is shuffled. Blank windows are left out, null texts have
@@ -39,7 +52,7 @@ def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Data
     def run(batches):
         for b in batches:
             rows = []
-            for name, page, text in zip(*(b.column(c).to_pylist() for c in ("filename", "page", "text"))):
+            for name, page, text in (row for part in pieces(b) for row in zip(*(part.column(c).to_pylist() for c in ("filename", "page", "text")))):
                 doc = hashlib.sha256(name.encode()).hexdigest()[:24]
                 text = (text or "").replace("\r\n", "\n").replace("\r", "\n")
                 for i, j in windows(text, size, overlap):
@@ -47,7 +60,7 @@ def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Data
                     if part.strip():
                         key = hashlib.sha256(f"{doc}:{page}:{i}:{part}".encode()).hexdigest()[:24]
                         rows.append((key, doc, name, part, page, i, j))
-                        if len(rows) >= 4096:
+                        if len(rows) >= ROWS:
                             yield batch(rows)
                             rows = []
             if rows:
