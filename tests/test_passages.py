@@ -72,3 +72,15 @@ def test_siblings(spark):
             if n == before:
                 break
         assert got[str(i)] == [chr(97 + j) for j in picked]
+
+
+def test_sentences_meet_their_question_once(spark):
+    from lodestone.functions.scoring import sentence_scores
+
+    s = ["Straße und Katze sit here.", "The cat sat on the mat, and so on.", "Copyright cat sat all of it.", "Cat sat.", "Nothing of that in here.", "A cat is what this is."]
+    df = spark.createDataFrame([(s, "Cat sat STRASSE?"), (s[:1], None), ([], "cat")], "s array<string>, q string")
+    x = df.select(sentence_scores(F.col("s"), F.col("q")).alias("x"))
+    got = [r["x"] for r in x.collect()]
+    assert got[0] == [pytest.approx(v, abs=1e-4) for v in (0.3333, 0.9167, 0.0, 0.0, 0.0, 0.3833)] and got[2] == []
+    plan = df.select(condense.compressed(F.element_at("s", 1), F.col("q")))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1  # words of the question are cut once for a row, not in a lambda for each sentence
