@@ -70,8 +70,8 @@ r as (select *, case when length(s) < 15 or len(t) = 0 or regexp_matches(low, '{
   else least(1.0, round(cover + case when paired then 0.25 else 0 end + case when regexp_matches(low, '{C.DEFINING}') then 0.05 else 0 end, 4)) end::double as score from c)
 select conv_id, turn, count(*)::bigint as n_sentences, max(score) as best, round(sum(score), 4) as total from r group by conv_id, turn""")
 def scl_sentscore(spark, d):
-    s = pairs(spark, d).select("conv_id", "turn", "before", F.explode(T.sentences(F.col("text"))).alias("s"))
-    s = s.select("conv_id", "turn", C.sentence_score(F.col("s"), F.col("before")).alias("score"))
+    s = pairs(spark, d).select("conv_id", "turn", C.sentence_scores(T.sentences(F.col("text")), F.col("before")).alias("all"))
+    s = s.select("conv_id", "turn", F.explode("all").alias("score"))
     return s.groupBy("conv_id", "turn").agg(F.count("*").alias("n_sentences"), F.max("score").alias("best"), F.round(F.sum("score"), 4).alias("total"))
 
 
