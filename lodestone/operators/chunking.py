@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import short_hash
+from .written import bounded, released
 
 SIZE, OVERLAP = 900, 150
 #: Bytes of texts and number of passages that a worker holds as Python objects.
@@ -47,7 +48,7 @@ def pieces(batch: pa.RecordBatch):
 def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
     """pages(filename, page, text) -> PASSAGES. Narrow: each window depends on the one before, so a
     text is cut by one worker, and nothing is shuffled. Blank windows are left out, null texts have
-    none."""
+    none. A worker is sent 8 MB of texts at a time, or one text."""
 
     def run(batches):
         for b in batches:
@@ -65,12 +66,13 @@ def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> Data
                             rows = []
             if rows:
                 yield batch(rows)
+        released()
 
     def batch(rows):
         kinds = [pa.string()] * 4 + [pa.int32()] * 3
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], [x.split()[0] for x in PASSAGES.split(", ")])
 
-    return pages.select("filename", "page", "text").mapInArrow(run, PASSAGES)
+    return bounded(pages.select("filename", "page", "text")).mapInArrow(run, PASSAGES)
 
 
 def parents(passages: DataFrame, size: int = 1800) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of rows that a Python worker is sent at once (a longer row comes alone), where the session doesn't say.
+BATCH_BYTES = "8m"
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir of the session. Where it is unset
@@ -43,3 +49,18 @@ def forget(*tables: DataFrame) -> None:
 def small(df: DataFrame, most: int = 64 << 20) -> bool:
     """Whether the optimizer's estimate of df, an upper bound for scans, allows a broadcast."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= most
+
+
+def bounded(rows: DataFrame) -> DataFrame:
+    """rows as they are; from here on, what Python workers of the session are sent at once is bounded by bytes, not by 10,000 rows of any length."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if key not in conf.getAll:
+        conf.set(key, BATCH_BYTES)
+    return rows
+
+
+def released() -> None:
+    """Returns freed memory of a Python worker, which outlives its tasks, to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # glibc has it
+        ctypes.CDLL(None).malloc_trim(0)

@@ -2,6 +2,7 @@
 
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.operators import chunking
 
@@ -24,3 +25,15 @@ def test_passages_in_pieces(spark, monkeypatch):
     monkeypatch.setattr(chunking, "BYTES", 500)
     monkeypatch.setattr(chunking, "ROWS", 2)
     assert sorted(tuple(r) for r in chunking.passages(p).collect()) == want and len(want) > 12
+
+
+def test_workers_are_sent_texts_by_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.getAll.get(key)
+    spark.conf.unset(key)
+    p = spark.range(0, 1500, 1, 1).select(F.concat(F.lit("f"), "id").alias("filename"), F.lit(1).alias("page"), F.repeat(F.lit("word "), 4000).alias("text"))
+    chunking.passages(p)
+    sizes = [r["n"] for r in p.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    if before is not None:
+        spark.conf.set(key, before)
+    assert sum(sizes) > 30_000_000 and max(sizes) < 9 << 20
